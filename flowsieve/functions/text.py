@@ -4,43 +4,45 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from flowsieve.schema import DNS_FAILURE_CODES
 
-_CHARS_PER_SLICE = 4_000_000
-
-
 def text_length(c: Column) -> Column:
     """Length in characters; null counts as the empty string."""
     return F.char_length(F.coalesce(c, F.lit("")))
 
 
-def _slice_entropy(texts: list[str], lengths: np.ndarray) -> np.ndarray:
-    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    rows = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths)
-    keys = np.sort((rows << np.uint64(32)) | chars)
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    counts = np.diff(np.append(starts, len(keys)))
-    owner = (keys[starts] >> np.uint64(32)).astype(np.int64)
-    p = counts / lengths[owner]
-    return -np.bincount(owner, weights=p * np.log2(p), minlength=len(texts))
-
-
-@F.pandas_udf("double")
-def _entropy(texts: pd.Series) -> pd.Series:
-    values = texts.fillna("").tolist()
-    lengths = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
-    out = np.zeros(len(values))
-    ends = np.cumsum(lengths)
-    start = 0
-    while start < len(values):
-        base = ends[start] - lengths[start]
-        stop = max(start + 1, int(np.searchsorted(ends, base + _CHARS_PER_SLICE, "right")))
-        if ends[stop - 1] > base:
-            out[start:stop] = _slice_entropy(values[start:stop], lengths[start:stop])
-        start = stop
-    return pd.Series(out + 0.0)
+def _entropy_udf():
+    # Nested, so that it travels to the executors whole and they need no copy of this package.
+    chars_per_slice = 4_000_000
+
+    def slice_entropy(texts: list, lengths: np.ndarray) -> np.ndarray:
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        rows = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths)
+        keys = np.sort((rows << np.uint64(32)) | chars)
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        counts = np.diff(np.append(starts, len(keys)))
+        owner = (keys[starts] >> np.uint64(32)).astype(np.int64)
+        p = counts / lengths[owner]
+        return -np.bincount(owner, weights=p * np.log2(p), minlength=len(texts))
+
+    @F.pandas_udf(T.DoubleType())
+    def char_entropy(texts: pd.Series) -> pd.Series:
+        values = texts.fillna("").tolist()
+        lengths = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
+        out = np.zeros(len(values))
+        ends = np.cumsum(lengths)
+        start = 0
+        while start < len(values):
+            base = ends[start] - lengths[start]
+            stop = max(start + 1, int(np.searchsorted(ends, base + chars_per_slice, "right")))
+            if ends[stop - 1] > base:
+                out[start:stop] = slice_entropy(values[start:stop], lengths[start:stop])
+            start = stop
+        return pd.Series(out + 0.0)
+
+    return char_entropy
 
 
 def entropy(c: Column) -> Column:
@@ -49,7 +51,7 @@ def entropy(c: Column) -> Column:
     An Arrow UDF on whole batches: counting characters needs a higher-order function
     on the JVM, which is interpreted per element and measured 7 to 15 times slower.
     """
-    return _entropy(c)
+    return _entropy_udf()(c)
 
 
 def dns_failed(rcode: Column, case_sensitive: bool = False) -> Column:
