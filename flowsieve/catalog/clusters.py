@@ -9,7 +9,7 @@ from flowsieve.operators.components import connected_components
 from flowsieve.operators.density import density_cluster
 from flowsieve.operators.reduce import explained_variance
 
-_EPS_1D = 30000.0
+_EPS_1D = 60000.0
 
 
 @query(f"""with p as (select c_custkey, floor(c_acctbal / ({_EPS_1D}::double / (select count(*) from customer) / 2)) as cell from customer),
@@ -70,7 +70,7 @@ both_ways as (select u, v from e union select v, u from e),
 reach(root, node) as (select u, u from both_ways union select r.root, b.v from reach r join both_ways b on b.u = r.node)
 select node, min(root) as root from reach group by node""")
 def components(spark, sf_dir):
-    """Suppliers and parts linked by large untaxed orders: connected components."""
+    """Suppliers and parts linked by large orders: connected components."""
     rows = table(spark, sf_dir, "lineitem").filter("l_quantity = 50 and l_tax = 0.08")
     return connected_components(rows.select(
         F.col("l_suppkey").alias("u"), (-1 - F.col("l_partkey")).alias("v")))

@@ -14,6 +14,7 @@ from flowsieve.operators.ranking import exact_quantiles
 from flowsieve.operators.split import value_counts as count_values
 from flowsieve.operators.tuning import alert_frequency as frequency, enrich, rate_limit
 from flowsieve.plans.sanity import profile as column_profile, preview
+from flowsieve.runtime import stage
 from flowsieve.schema import CONTINUOUS, FEATURES, FLAT_COLUMNS, HIGH_CARD_COLUMNS, INDICATOR_VALUES, col_name
 
 _TYPES = ["view", "signup", "error", "click", "purchase"]
@@ -89,7 +90,7 @@ def _scaled_sql(source: str, keys: str, columns: list[str]) -> str:
 @query(f"with {FEATURES_SQL}, {_scaled_sql('features', 'flow_id', CONTINUOUS)}")
 def feature_scaled(spark, sf_dir):
     """The continuous features after robust scaling."""
-    scaled, _ = robust_scale(feature_matrix(flow_rows(spark, sf_dir)))
+    scaled, _ = robust_scale(stage(feature_matrix(flow_rows(spark, sf_dir)), "features"))
     return scaled.select("flow_id", *_rounded(CONTINUOUS))
 
 

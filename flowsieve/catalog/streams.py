@@ -43,7 +43,7 @@ where w + interval '5 minutes' <= (select max(ts) - interval '5 minutes' from ev
 def stream_windows(spark, sf_dir):
     """The same windows from a stream: every window the watermark has closed."""
     source = table(spark, sf_dir, "events")
-    events = spark.readStream.schema(source.schema).format("parquet").load(f"{sf_dir}/events.parquet")
+    events = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out = new_path(spark, "stream")
     flows = windowed_flows(_shaped(events), [f"first_{t}" for t in _TYPES])
     write_alerts(flows, f"{out}/rows", f"{out}/state").awaitTermination()

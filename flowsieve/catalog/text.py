@@ -11,7 +11,7 @@ from flowsieve.functions.labels import reply_label, rule_label, suspicious, prio
 from flowsieve.functions.text import (
     clean_flow_id, entropy, fallback_flow_id, norm_port, number, text_length, trimmed,
 )
-from flowsieve.runtime import new_path
+from flowsieve.runtime import new_path, stage
 from flowsieve.schema import FLAT_COLUMNS, LABELS, LABEL_MALFORMED, LABEL_RULES, SUSPICIOUS_KEYWORDS
 from flowsieve.sources.events import parse_events, read_lines, rejected_lines, with_line_numbers
 
@@ -52,7 +52,7 @@ _PARSED = ", ".join(c for c in FLAT_COLUMNS if c != "flow_id")
 from eve where ord % 10 not in (7, 8, 9)""")
 def eve_parse(spark, sf_dir):
     """JSON lines to flat events; broken lines skipped, DNS values found wherever they are."""
-    return parse_events(event_lines(spark, sf_dir))
+    return parse_events(stage(event_lines(spark, sf_dir), "lines"))
 
 
 @query("""select count(*) as n_lines, count(*) filter (event_id % 10 = 7) as n_blank,
@@ -60,7 +60,7 @@ count(*) filter (event_id % 10 in (8, 9)) as n_rejected, count(*) filter (event_
 count(*) filter (event_id % 10 = 9) as n_not_object from events""")
 def reject_counts(spark, sf_dir):
     """Usable, blank and rejected lines."""
-    return rejected_lines(event_lines(spark, sf_dir))
+    return rejected_lines(stage(event_lines(spark, sf_dir), "lines"))
 
 
 @query("select count(*) as n_lines, count(*) as n_numbered from events")

@@ -5,9 +5,10 @@ from __future__ import annotations
 import time
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsieve.operators.metrics import classification_report, confusion_wide, report_dict
 from flowsieve.operators.split import class_weights, train_test
@@ -20,55 +21,65 @@ PREDICTION = "predicted_label"
 def fit(train: DataFrame, settings: Settings = Settings(), label: str = "target_label",
         key: str = "flow_id", features: list[str] = FEATURES, method: str = "boosted"
         ) -> PipelineModel:
-    """Scoring model: features in, ``predicted_label`` out.
+    """Model stages from features to ``predicted_label``; apply them with ``predict``.
 
-    ``boosted`` is one boosted model per class with early stopping on a validation slice cut
-    from the training rows; ``forest`` is one random forest for all classes. Classes are
-    weighted inversely to their size. Features are an allow-list, so no id can leak in.
+    ``boosted`` is one boosted model per class against the rest, each stopping early on a
+    validation slice cut from the training rows; ``forest`` is one random forest for all
+    classes. Classes are weighted inversely to their size. Features are an allow-list, so no
+    id can leak in.
     """
     weights = class_weights(train, label)
     if weights.count() < 2:
         raise ValueError("training needs at least two classes")
     rows = train_test(train.select(key, label, *features), key, label, 0.1, settings.seed + 1)
-    rows = rows.join(F.broadcast(weights.select(label, "weight")), label)
+    rows = rows.join(F.broadcast(weights.select(label, "weight")), label)  # one row per class
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
     assembler = VectorAssembler(inputCols=features, outputCol="_features")
     ready = stage(
         assembler.transform(indexer.transform(rows)).select(
             "_features", "_label", "weight", (F.col("split") == "test").alias("_validate")),
         "training")
-    common = dict(featuresCol="_features", labelCol="_label", maxDepth=settings.depth, seed=settings.seed)
-    if method == "forest":
-        model = RandomForestClassifier(
-            **common, weightCol="weight", numTrees=settings.iterations, predictionCol="_predicted").fit(ready)
-    else:
-        trees = GBTClassifier(
-            **common, maxIter=settings.iterations, stepSize=settings.learning_rate,
-            validationIndicatorCol="_validate")
-        model = OneVsRest(
-            classifier=trees, featuresCol="_features", labelCol="_label", weightCol="weight",
-            predictionCol="_predicted", rawPredictionCol="_raw").fit(ready)
     back = IndexToString(inputCol="_predicted", outputCol=PREDICTION, labels=indexer.labels)
-    return PipelineModel([assembler, model, back])
+    if method == "forest":
+        forest = RandomForestClassifier(
+            featuresCol="_features", labelCol="_label", weightCol="weight", maxDepth=settings.depth,
+            seed=settings.seed, numTrees=settings.iterations, predictionCol="_predicted")
+        return PipelineModel([assembler, forest.fit(ready), back])
+
+    k = len(indexer.labels)
+    members = []
+    for i in range(k):
+        boosted = GBTClassifier(
+            featuresCol="_features", labelCol="_is_class", weightCol="weight",
+            predictionCol=f"_hit{i}", rawPredictionCol=f"_raw{i}", probabilityCol=f"_p{i}",
+            maxIter=settings.iterations, stepSize=settings.learning_rate, maxDepth=settings.depth,
+            seed=settings.seed, validationIndicatorCol="_validate")
+        members.append(boosted.fit(ready.withColumn("_is_class", (F.col("_label") == i).cast("double"))))
+    # Each class model gives (rest, class); every second entry is a class score.
+    both = VectorAssembler(inputCols=[f"_p{i}" for i in range(k)], outputCol="_both")
+    scores = VectorSlicer(inputCol="_both", outputCol="_scores", indices=[2 * i + 1 for i in range(k)])
+    return PipelineModel([assembler, *members, both, scores, back])
 
 
 def predict(model: PipelineModel, rows: DataFrame, prediction: str = PREDICTION) -> DataFrame:
-    """All input columns plus the predicted label; features that are not numbers count as 0."""
-    out = model.transform(rows)
-    extra = [c for c in out.columns if c not in rows.columns and c != PREDICTION]
-    return out.drop(*extra).withColumnRenamed(PREDICTION, prediction)
-
-
-def feature_importance(model: PipelineModel, features: list[str] = FEATURES) -> DataFrame:
+    """All input columns plus the predicted label. Stays on the JVM, row by row."""
+    out = rows
+    for step in model.stages[:-1]:
+        out = step.transform(out)
+    if "_scores" in out.columns:
+        scores = vector_to_array("_scores")
+        out = out.withColumn("_predicted", (F.array_position(scores, F.array_max(scores)) - 1).cast("double"))
+    out = model.stages[-1].transform(out)
+    return out.select(*rows.columns, F.col(PREDICTION).alias(prediction))
+
+
+def feature_importance(spark: SparkSession, model: PipelineModel, features: list[str] = FEATURES) -> DataFrame:
     """(Feature, Importance), highest first; the mean over the per-class models."""
-    trained = model.stages[1]
-    parts = getattr(trained, "models", [trained])
+    parts = [s for s in model.stages if hasattr(s, "featureImportances")]
     mean = sum(m.featureImportances.toArray() for m in parts) / len(parts)
     rows = [(DOTTED_NAME.get(f, f), float(v)) for f, v in zip(features, mean)]
-    from pyspark.sql import SparkSession
-
-    return SparkSession.getActiveSession().createDataFrame(
-        rows, "Feature string, Importance double").orderBy(F.desc("Importance"), "Feature")
+    return spark.createDataFrame(rows, "Feature string, Importance double").orderBy(
+        F.desc("Importance"), "Feature")
 
 
 def train_and_measure(train: DataFrame, test: DataFrame, settings: Settings = Settings(),
