@@ -51,9 +51,9 @@ def fit(train: DataFrame, settings: Settings = Settings(), label: str = "target_
     for i in range(k):
         boosted = GBTClassifier(
             featuresCol="_features", labelCol="_is_class", weightCol="weight",
-            predictionCol=f"_hit{i}", rawPredictionCol=f"_raw{i}", probabilityCol=f"_p{i}",
-            maxIter=settings.iterations, stepSize=settings.learning_rate, maxDepth=settings.depth,
-            seed=settings.seed, validationIndicatorCol="_validate")
+            predictionCol=f"_hit{i}", maxIter=settings.iterations, stepSize=settings.learning_rate,
+            maxDepth=settings.depth, seed=settings.seed, validationIndicatorCol="_validate",
+        ).setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_p{i}")
         members.append(boosted.fit(ready.withColumn("_is_class", (F.col("_label") == i).cast("double"))))
     # Each class model gives (rest, class); every second entry is a class score.
     both = VectorAssembler(inputCols=[f"_p{i}" for i in range(k)], outputCol="_both")
