@@ -13,7 +13,7 @@ from flowsieve.functions.text import (
 )
 from flowsieve.runtime import new_path, stage
 from flowsieve.schema import FLAT_COLUMNS, LABELS, LABEL_MALFORMED, LABEL_RULES, SUSPICIOUS_KEYWORDS
-from flowsieve.sources.events import parse_events, read_lines, rejected_lines, with_line_numbers
+from flowsieve.sources.events import parse_events, read_lines, rejected_lines, with_positions
 
 ENTROPY_SQL = "coalesce(list_aggregate(string_split({0}, ''), 'entropy'), 0.0)"
 
@@ -63,21 +63,15 @@ def reject_counts(spark, sf_dir):
     return rejected_lines(stage(event_lines(spark, sf_dir), "lines"))
 
 
-@query("select count(*) as n_lines, count(*) as n_numbered from events")
-def line_numbers(spark, sf_dir):
-    """Line numbers of a scan of written text files, against the order of the ids in them."""
+@query("select event_id, event_id + 1 as ord from events")
+def line_positions(spark, sf_dir):
+    """Positions of the lines of written text files; ids were written in order."""
     path = new_path(spark, "lines")
     lines = event_lines(spark, sf_dir).withColumn("id", F.lpad(F.col("ord").cast("string"), 20, "0"))
     lines.repartitionByRange("ord").sortWithinPartitions("ord").select(
         F.concat("id", F.lit(" "), "value").alias("value")).write.text(path)
-    numbered = with_line_numbers(read_lines(spark, path)).select(
-        F.col("ord.file").alias("file"), "line_number",
-        F.substring("value", 1, 20).cast("bigint").alias("id"))
-    first = numbered.groupBy("file").agg(F.min("id").alias("first_id"))
-    # ids are consecutive within a range-partitioned file
-    return numbered.join(F.broadcast(first), "file").agg(
-        F.count("*").alias("n_lines"),
-        F.count_if(F.col("line_number") == F.col("id") - F.col("first_id") + 1).alias("n_numbered"))
+    return with_positions(read_lines(spark, path)).select(
+        F.substring("value", 1, 20).cast("bigint").alias("event_id"), "ord")
 
 
 @query(f"""with {EVE_SQL} select ord, 'generated_' || substr(sha1(concat_ws('|', timestamp, src_ip, src_port, dest_ip,

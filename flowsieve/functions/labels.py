@@ -19,19 +19,15 @@ def rule_label(context: Column) -> Column:
     return out.otherwise(LABEL_MALFORMED)
 
 
-def is_json_object(c: Column) -> Column:
-    """True for exactly one JSON object with double-quoted keys, and nothing after it."""
-    ok = (
-        F.json_object_keys(c).isNotNull()
-        & (F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1)
-        & c.rlike(r'^\s*\{\s*["}]')
-    )
-    return F.coalesce(ok, F.lit(False))
+def is_json_value(c: Column) -> Column:
+    """True for exactly one JSON value of any kind, with nothing after it."""
+    # Written into an array with a second element: text after the value breaks it or adds to it.
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), c, F.lit(",0]"))) == 2, F.lit(False))
 
 
-def is_json_value(c: Column) -> Column:
-    """True for exactly one JSON value of any kind."""
-    return F.coalesce(F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1, F.lit(False))
+def is_json_object(c: Column) -> Column:
+    """True for exactly one JSON object with double-quoted keys, with nothing after it."""
+    return F.coalesce(c.rlike(r'^\s*\{\s*["}]'), F.lit(False)) & is_json_value(c)
 
 
 def reply_label(reply: Column, labels: list[str] = LABELS) -> Column:

@@ -34,26 +34,20 @@ def extract(events: DataFrame, attack: Column, max_normal: int = 15000, normal_t
             order: str = "ord") -> DataFrame:
     """All attack events and the first ``max_normal`` normal ones, with ``is_attack``.
 
-    Normal events have type ``normal_type`` (``any`` takes every type). ``order`` is a whole
-    number, or the (file, block, row) key of a log scan. Which normal events come first is
-    settled by counts per stretch of the input; only the stretch in which the limit falls is
-    sorted.
+    Normal events have type ``normal_type`` (``any`` takes every type). ``order`` is the
+    unique position of the event. Which normal events come first is settled by counts per
+    stretch of 65536 positions; only the stretch in which the limit falls is sorted.
     """
+    normal = F.lit(True) if normal_type == "any" else F.coalesce(
+        F.col("event_type") == normal_type, F.lit(False))
     rows = events.withColumn("is_attack", attack)
-    normal = ~F.col("is_attack")
-    if normal_type != "any":
-        normal = normal & (F.col("event_type") == normal_type)
     rows = rows.withColumn(
-        "_class", F.when(F.col("is_attack"), 0).when(F.coalesce(normal, F.lit(False)), 1)
-    ).filter("_class is not null")
-    if dict(events.dtypes)[order].startswith("struct"):
-        stretch = F.struct(F.col(f"{order}.file"), F.col(f"{order}.block"))
-    else:
-        stretch = F.floor(F.col(order) / 65536)
-    quota = events.sparkSession.createDataFrame([(1, max_normal)], "_class int, quota bigint")
-    attacks = rows.filter("_class = 0")
-    kept = take_by_quota(rows.filter("_class = 1"), quota, "_class", stretch, [order], "_kept")
-    return attacks.unionByName(kept.filter("_kept").drop("_kept")).drop("_class")
+        "_class", F.when(F.col("is_attack"), 0).when(normal, 1)).filter("_class is not null")
+    quota = events.sparkSession.createDataFrame(
+        [(0, 2 ** 62), (1, max_normal)], "_class int, quota bigint")
+    stretch = F.floor(F.col(order) / 65536)
+    return take_by_quota(rows, quota, "_class", stretch, [order], "_kept").filter("_kept").drop(
+        "_kept", "_class")
 
 
 def extract_counts(extracted: DataFrame) -> DataFrame:

@@ -33,36 +33,42 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 
 def take_by_quota(df: DataFrame, quota: DataFrame, group: str, bucket: Column,
-                  order: list, flag: str) -> DataFrame:
+                  order: list[str], flag: str) -> DataFrame:
     """Mark, per group, the first ``quota`` rows in order: ``flag`` is true for them.
 
-    ``bucket`` must never decrease along the order. Counting rows per (group, bucket) finds
-    the one bucket per group in which the quota runs out; rows before it are all in, rows
-    after it all out, and only that bucket's rows get sorted. So no task ever holds a group,
-    only one bucket of it. ``quota`` has the columns (group, quota), one row per group, and
-    few groups.
+    ``bucket`` must never decrease along the (unique) order. Counting rows per (group,
+    bucket) finds the one bucket per group in which the quota runs out; only the keys of that
+    bucket are sorted, to find the last row inside. The rows themselves are then compared
+    with one cut per group: they are neither shuffled nor sorted, and no task holds a group.
+    ``quota`` has the columns (group, quota), one row for each of few groups.
     """
-    rows = df.withColumn("_bucket", bucket)
-    running = F.sum("_n").over(Window.partitionBy(group).orderBy("_bucket"))
+    place = F.struct(*[F.col(c) for c in order])
+    keys = df.select(F.col(group), bucket.alias("_bucket"), place.alias("_place"))
+    upto = F.sum("_n").over(Window.partitionBy(group).orderBy("_bucket"))
     edges = (
-        rows.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
-        .withColumn("_upto", running)
-        .join(F.broadcast(quota), group)
-        .groupBy(group)
-        .agg(
+        keys.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
+        .withColumn("_upto", upto).join(F.broadcast(quota), group)
+        .groupBy(group).agg(
             F.min(F.when(F.col("_upto") > F.col("quota"), F.col("_bucket"))).alias("_edge"),
-            F.coalesce(F.max(F.when(F.col("_upto") <= F.col("quota"), F.col("_upto"))), F.lit(0)).alias("_full"),
-            F.first("quota").alias("_quota"),
-        )
+            F.max("quota").alias("_quota"),
+            F.coalesce(F.max(F.when(F.col("_upto") <= F.col("quota"), F.col("_upto"))), F.lit(0)).alias("_full"))
+    )
+    edges = stage(edges, "edges")  # one row per group
+    rank = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_place"))
+    cuts = (
+        keys.join(F.broadcast(edges), group).filter(F.col("_bucket") == F.col("_edge"))
+        .withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_quota") - F.col("_full"))
+        .groupBy(group).agg(F.max("_place").alias("_last"))
+    )
+    cuts = stage(edges.select(group, "_edge").join(cuts, group, "left"), "cuts")
+    inside = (
+        F.col("_edge").isNull() | (F.col("_bucket") < F.col("_edge"))
+        | ((F.col("_bucket") == F.col("_edge")) & F.coalesce(place <= F.col("_last"), F.lit(False)))
+    )
+    return (
+        df.withColumn("_bucket", bucket).join(F.broadcast(cuts), group)
+        .withColumn(flag, inside).select(*df.columns, flag)
     )
-    rows = rows.join(F.broadcast(edges), group, "left")
-    on_edge = F.coalesce(F.col("_bucket") == F.col("_edge"), F.lit(False))
-    inside = F.col("_edge").isNull() | (F.col("_bucket") < F.col("_edge"))
-    # Rows off the edge need no order: they are kept out of the sorted partitions.
-    rank = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order))
-    settled = rows.filter(~on_edge).withColumn(flag, inside)
-    sorted_edge = rows.filter(on_edge).withColumn(flag, rank <= F.col("_quota") - F.col("_full"))
-    return settled.unionByName(sorted_edge).drop("_bucket", "_edge", "_full", "_quota")
 
 
 def _magnitude_bucket(v: Column) -> Column:
@@ -79,7 +85,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     """
     long = df.select(
         F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns
+            F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("v"))
+            for i, c in enumerate(columns)
         ])).alias("s")
     ).select("s.*").filter(F.col("v").isNotNull()).withColumn("bucket", _magnitude_bucket(F.col("v")))
 
@@ -112,6 +119,6 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     low = F.max(F.when(F.col("rank") == F.floor("h"), F.col("v")))
     high = F.max(F.when(F.col("rank") == F.ceil("h"), F.col("v")))
     return found.groupBy("column", "probability", "h").agg(low.alias("lo"), high.alias("hi")).select(
-        "column", "probability",
+        F.get(F.array(*[F.lit(c) for c in columns]), F.col("column")).alias("column"), "probability",
         (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("h") - F.floor("h"))).alias("value"),
     )

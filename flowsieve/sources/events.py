@@ -6,51 +6,48 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from flowsieve.functions.labels import is_json_object, is_json_value
 from flowsieve.functions.text import fallback_flow_id
+from flowsieve.runtime import stage
 from flowsieve.schema import EVENT_COLUMNS, EVENT_SCHEMA, _DNS_RECORDS, col_name
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Text lines with ``ord``, a key that sorts as (file, position in file).
+    """Text lines with their place: file, start of the block in the file, row id.
 
-    ``monotonically_increasing_id`` follows the lines within one block of a file, so
-    (file, block start, id) is file order however the blocks were packed into tasks.
+    ``monotonically_increasing_id`` follows the lines within one block, so (file, block, row)
+    is file order however the blocks were packed into tasks.
     """
-    return (
-        spark.read.text(path)
-        .select(
-            F.make_valid_utf8("value").alias("value"),
-            F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias("ord"),
-        )
+    return spark.read.text(path).select(
+        F.make_valid_utf8("value").alias("value"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
-def with_line_numbers(lines: DataFrame) -> DataFrame:
-    """Add the 1-based ``line_number`` within each file; blank lines count.
+def with_positions(lines: DataFrame) -> DataFrame:
+    """Replace the place by ``ord``, the position over all files, and ``line_number``.
 
-    One counting pass gives the lines per block. That table has one row per input block
-    (about a millionth of the bytes read), so its running sum and its broadcast are
-    bounded by the number of blocks, never by the number of lines.
+    Both count from 1 and count blank lines. One counting pass gives the lines per block.
+    That table has one row per input block (about a millionth of the bytes read), so its
+    running sums and its broadcast are bounded by the number of blocks, not of lines.
     """
-    block = [F.col("ord.file").alias("_file"), F.col("ord.block").alias("_block")]
-    before = F.sum("_lines").over(
-        Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    blocks = (
-        lines.groupBy(*block)
-        .agg(F.count("*").alias("_lines"), F.min("ord.row").alias("_first"))
-        .select("_file", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
-    )
+    earlier = (Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "block").agg(
+        F.count("*").alias("n"), F.min("row").alias("first_row"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(*earlier))
+    files = blocks.groupBy("file").agg(F.sum("n").alias("n"))
+    skipped = F.sum("n").over(Window.orderBy("file").rowsBetween(*earlier))  # one row per file
+    blocks = stage(
+        blocks.withColumn("before", F.coalesce(before, F.lit(0))).drop("n").join(
+            files.select("file", F.coalesce(skipped, F.lit(0)).alias("skipped")), "file"),
+        "blocks")
+    # The lines are scanned again later; other files or split settings by then are an error.
+    known = F.coalesce("first_row", F.raise_error(F.lit("the input or its splits changed")).cast("bigint"))
+    line = F.col("before") + F.col("row") - known + 1
     return (
-        lines.join(
-            F.broadcast(blocks),
-            (F.col("ord.file") == F.col("_file")) & (F.col("ord.block") == F.col("_block")),
-        )
-        .withColumn("line_number", F.col("_before") + F.col("ord.row") - F.col("_first") + 1)
-        .drop("_file", "_block", "_first", "_before")
+        lines.join(F.broadcast(blocks), ["file", "block"], "left")
+        .withColumn("line_number", line).withColumn("ord", F.col("skipped") + F.col("line_number"))
+        .drop("block", "row", "first_row", "before", "skipped")
     )
 
 
@@ -100,7 +97,7 @@ def rejected_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
-    """Events of JSON-lines files, each with an id and its ``ord``.
+    """Events of JSON-lines files, each with an id and its position ``ord``.
 
     Bad lines are skipped; with ``strict`` one bad line is an error. No events is an error.
     """
@@ -109,9 +106,9 @@ def read_events(spark: SparkSession, path: str | list[str], strict: bool = False
         counts = rejected_lines(lines).first()
         if counts["n_rejected"]:
             raise ValueError(f"{counts['n_rejected']} lines are no JSON objects: {path}")
-    events = parse_events(with_line_numbers(lines))
-    if events.isEmpty():
+    if parse_events(lines).isEmpty():
         raise ValueError(f"no valid JSON events in {path}")
+    events = parse_events(with_positions(lines))
     return events.withColumn(
         "flow_id", F.coalesce("flow_id", fallback_flow_id(F.col("line_number")))
-    ).drop("line_number")
+    ).drop("line_number", "file")

@@ -6,7 +6,7 @@ import pytest
 
 from flowsieve.operators.collapse import collapse
 from flowsieve.operators.extract import extract, extract_counts, is_attack
-from flowsieve.sources.events import read_events, read_lines, rejected_lines, with_line_numbers
+from flowsieve.sources.events import read_events, read_lines, rejected_lines, with_positions
 
 
 @pytest.fixture(scope="module")
@@ -69,15 +69,18 @@ def test_line_numbers_over_many_blocks(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
     spark.conf.set("spark.sql.files.openCostInBytes", "100")
     try:
-        rows = with_line_numbers(read_lines(spark, str(tmp_path))).collect()
+        lines = read_lines(spark, str(tmp_path))
+        blocks = lines.select("file", "block").distinct().count()
+        rows = with_positions(lines).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert len(rows) == 3011
-    assert len({(r["ord"]["file"], r["ord"]["block"]) for r in rows}) > 5
+    assert blocks > 5
     assert all(r["value"][1:] == str(r["line_number"]) for r in rows)
+    assert sorted(r["ord"] for r in rows) == list(range(1, 3012))
     in_order = [r["value"] for r in sorted(rows, key=lambda r: r["ord"])]
-    assert in_order[:3] == ["a1", "a2", "a3"] and in_order[-1] == "c1"
+    assert in_order == [f"{f}{i}" for f, n in (("a", 3000), ("b", 10), ("c", 1)) for i in range(1, n + 1)]
 
 
 def test_collapse_ignores_partitioning(spark, golden_path):
