@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.catalog import query, table
 from flowsieve.catalog.events import flow_rows
-from flowsieve.catalog.views import event_lines
+from flowsieve.catalog.views import written_lines
 from flowsieve.operators.features import feature_matrix, robust_scale
 from flowsieve.plans.training import fit
 from flowsieve.runtime import new_path, stage
@@ -59,8 +59,7 @@ def stream_score(spark, sf_dir):
         flows.withColumn("h_alert", F.col("alert_signature")), keep=["flow_id", "h_alert"]), "features"))
     model = fit(features.withColumn("target_label", label), Settings(iterations=5, depth=4), method="forest")
 
-    logs, out = new_path(spark, "logs"), new_path(spark, "alerts")
-    event_lines(spark, sf_dir).select("value").write.text(logs)
+    logs, out = written_lines(spark, sf_dir), new_path(spark, "alerts")
     found = score_stream(read_event_stream(spark, logs), model, params)
     write_alerts(found, f"{out}/rows", f"{out}/state").awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{out}/rows")

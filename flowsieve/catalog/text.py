@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowsieve.catalog import query, table
-from flowsieve.catalog.views import EVE_SQL, event_lines, event_rows
+from flowsieve.catalog.views import EVE_SQL, event_lines, event_rows, written_lines
 from flowsieve.functions.context import alert_message, context_text, first_lines, legacy_context_text
 from flowsieve.functions.labels import reply_label, rule_label, suspicious, priority
 from flowsieve.functions.text import (
     clean_flow_id, entropy, fallback_flow_id, norm_port, number, text_length, trimmed,
 )
-from flowsieve.runtime import new_path, stage
+from flowsieve.runtime import new_path
 from flowsieve.schema import FLAT_COLUMNS, LABELS, LABEL_MALFORMED, LABEL_RULES, SUSPICIOUS_KEYWORDS
 from flowsieve.sources.events import parse_events, read_lines, rejected_lines, with_positions
 
@@ -51,8 +51,9 @@ _PARSED = ", ".join(c for c in FLAT_COLUMNS if c != "flow_id")
 @query(f"""with {EVE_SQL} select ord, case when ord % 10 <> 6 then flow_id end as flow_id, {_PARSED}
 from eve where ord % 10 not in (7, 8, 9)""")
 def eve_parse(spark, sf_dir):
-    """JSON lines to flat events; broken lines skipped, DNS values found wherever they are."""
-    return parse_events(stage(event_lines(spark, sf_dir), "lines"))
+    """Log files to flat events; broken lines skipped, DNS values found wherever they are."""
+    lines = with_positions(read_lines(spark, written_lines(spark, sf_dir))).drop("file", "line_number")
+    return parse_events(lines).withColumn("ord", F.col("ord") - 1)
 
 
 @query("""select count(*) as n_lines, count(*) filter (event_id % 10 = 7) as n_blank,
@@ -60,7 +61,7 @@ count(*) filter (event_id % 10 in (8, 9)) as n_rejected, count(*) filter (event_
 count(*) filter (event_id % 10 = 9) as n_not_object from events""")
 def reject_counts(spark, sf_dir):
     """Usable, blank and rejected lines."""
-    return rejected_lines(stage(event_lines(spark, sf_dir), "lines"))
+    return rejected_lines(read_lines(spark, written_lines(spark, sf_dir)))
 
 
 @query("select event_id, event_id + 1 as ord from events")

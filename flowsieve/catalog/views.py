@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsieve.catalog import table
+from flowsieve.runtime import new_path
 from flowsieve.schema import FLAT_COLUMNS
 
 _HOST = "split_part(split_part(url, '//', 2), '/', 1)"
@@ -122,3 +123,11 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.col("ord") % 10
     return rows.select("ord", F.when(broken == 7, "  ").when(broken == 8, F.concat(event, F.lit(" tail")))
                        .when(broken == 9, F.concat(F.lit("["), event, F.lit("]"))).otherwise(event).alias("value"))
+
+
+def written_lines(spark: SparkSession, sf_dir: str) -> str:
+    """The JSON lines as a folder of text files, in event order over the files."""
+    path = new_path(spark, "lines")
+    event_lines(spark, sf_dir).repartitionByRange("ord").sortWithinPartitions("ord").select(
+        "value").write.text(path)
+    return path

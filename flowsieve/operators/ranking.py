@@ -43,30 +43,37 @@ def take_by_quota(df: DataFrame, quota: DataFrame, group: str, bucket: Column,
     ``quota`` has the columns (group, quota), one row for each of few groups.
     """
     place = F.struct(*[F.col(c) for c in order])
-    keys = df.select(F.col(group), bucket.alias("_bucket"), place.alias("_place"))
-    upto = F.sum("_n").over(Window.partitionBy(group).orderBy("_bucket"))
+    keys = df.select(F.col(group).alias("_group"), bucket.alias("_bucket"), place.alias("_place"))
+    quota = quota.select(F.col(group).alias("_of"), "quota")
+    upto = F.sum("_n").over(Window.partitionBy("_group").orderBy("_bucket"))
     edges = (
-        keys.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
-        .withColumn("_upto", upto).join(F.broadcast(quota), group)
-        .groupBy(group).agg(
+        keys.groupBy("_group", "_bucket").agg(F.count("*").alias("_n"))
+        .withColumn("_upto", upto)
+        .join(F.broadcast(quota), F.col("_group").eqNullSafe(F.col("_of")))
+        .groupBy("_of").agg(
             F.min(F.when(F.col("_upto") > F.col("quota"), F.col("_bucket"))).alias("_edge"),
             F.max("quota").alias("_quota"),
             F.coalesce(F.max(F.when(F.col("_upto") <= F.col("quota"), F.col("_upto"))), F.lit(0)).alias("_full"))
     )
     edges = stage(edges, "edges")  # one row per group
-    rank = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_place"))
+    rank = F.row_number().over(Window.partitionBy("_of", "_bucket").orderBy("_place"))
     cuts = (
-        keys.join(F.broadcast(edges), group).filter(F.col("_bucket") == F.col("_edge"))
+        keys.join(F.broadcast(edges), F.col("_group").eqNullSafe(F.col("_of")))
+        .filter(F.col("_bucket") == F.col("_edge"))
         .withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_quota") - F.col("_full"))
-        .groupBy(group).agg(F.max("_place").alias("_last"))
+        .groupBy("_of").agg(F.max("_place").alias("_last"))
+        .withColumnRenamed("_of", "_cut_of")
     )
-    cuts = stage(edges.select(group, "_edge").join(cuts, group, "left"), "cuts")
+    cuts = edges.select("_of", "_edge").join(
+        cuts, F.col("_of").eqNullSafe(F.col("_cut_of")), "left").drop("_cut_of")
+    cuts = stage(cuts, "cuts")
     inside = (
         F.col("_edge").isNull() | (F.col("_bucket") < F.col("_edge"))
         | ((F.col("_bucket") == F.col("_edge")) & F.coalesce(place <= F.col("_last"), F.lit(False)))
     )
     return (
-        df.withColumn("_bucket", bucket).join(F.broadcast(cuts), group)
+        df.withColumn("_bucket", bucket)
+        .join(F.broadcast(cuts), F.col(group).eqNullSafe(F.col("_of")))
         .withColumn(flag, inside).select(*df.columns, flag)
     )
 

@@ -52,6 +52,15 @@ def test_take_by_quota(spark):
         assert sorted(r["v"] for r in got if r["g"] == g and r["take"]) == values[:n]
 
 
+def test_take_by_quota_with_null_group_and_ties_in_a_bucket(spark):
+    rows = spark.createDataFrame([(None, i) for i in range(50)] + [("a", i) for i in range(7)], "g string, v int")
+    quota = spark.createDataFrame([(None, 11), ("a", 7)], "g string, quota long")
+    got = take_by_quota(rows, quota, "g", F.lit(0), ["v"], "take").collect()
+    assert len(got) == 57
+    assert sorted(r["v"] for r in got if r["g"] is None and r["take"]) == list(range(11))
+    assert sum(r["take"] for r in got if r["g"] == "a") == 7
+
+
 @settings(max_examples=8, deadline=None)
 @given(values=st.lists(st.one_of(
     st.floats(-1e9, 1e9), st.integers(-3, 3).map(float), st.just(0.0)), min_size=1, max_size=60))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from flowsieve.catalog.views import event_lines, event_rows
 from flowsieve.operators.collapse import collapse
 from flowsieve.plans import labeling, legacy
+from flowsieve.plans.extraction import extract_log
 from flowsieve.plans.evaluation import attack_report, evaluate_attacks, relink, truth_is_one_sided
 from flowsieve.plans.sanity import cluster_summary, preview, profile, sample_labels, shape
 from flowsieve.plans.scoring import score_batch
@@ -134,6 +135,15 @@ def test_sanity(spark, events):
     assert shape(flows) == (flows.count(), 34)
 
 
+def test_extract_log(spark, golden_path, tmp_path):
+    target = str(tmp_path / "small")
+    counts = extract_log(spark, golden_path, target, Settings(max_normal_events=3))
+    assert counts.first().asDict() == {"saved": 4, "attack": 1, "normal": 3}
+    source = open(golden_path, encoding="utf-8", errors="replace").read().splitlines()
+    written = [r["value"] for r in spark.read.text(target).select("value").collect()]
+    assert sorted(written) == sorted([source[0], source[2], source[10], source[11]])
+
+
 def test_legacy_run(events):
     def scorer(texts):
         return [None if "UDP" in t else (LEGACY_LABELS[2], 0.9) for t in texts]
