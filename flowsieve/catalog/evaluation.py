@@ -12,7 +12,9 @@ from flowsieve.operators.metrics import (
 )
 from flowsieve.operators.truth import attack_rows, other_rows, tag_attacks
 from flowsieve.plans.evaluation import attack_report, evaluate_attacks, relink
-from flowsieve.sources.groundtruth import attack_tuples
+from flowsieve.runtime import new_path
+from flowsieve.sources.groundtruth import attack_tuples, read_ground_truth
+from flowsieve.sources.tables import read_table, write_table
 
 # Line items as address rows; those returned with a high quantity are the ground truth.
 _ADDR_SQL = """addr as (select l_orderkey, l_linenumber, cast(l_orderkey as varchar) as src_ip,
@@ -41,6 +43,18 @@ def truth_tuples(spark, sf_dir):
     return _tuples(spark, sf_dir)
 
 
+@query(f"with {_ADDR_SQL} select src_ip, dest_ip, dest_port from tuples")
+def truth_csv(spark, sf_dir):
+    """The same tuples out of a ground-truth CSV with padded header names."""
+    path = new_path(spark, "truth")
+    _addresses(spark, sf_dir).select(
+        F.col("src_ip").alias(" Source IP"), F.col("dest_ip").alias(" Destination IP "),
+        F.col("dest_port").alias("Destination Port"),
+        F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40), "DoS HeartBleed")
+        .otherwise("BENIGN").alias(" Label")).write.option("header", True).csv(path)
+    return attack_tuples(read_ground_truth(spark, path), "heartbleed")
+
+
 @query(f"""with {_ADDR_SQL} select l_orderkey, l_linenumber, case when t.src_ip is null then 0 else 1 end as Actual_Is_Attack
 from addr a left join tuples t using (src_ip, dest_ip, dest_port)""")
 def truth_tag(spark, sf_dir):
@@ -163,3 +177,15 @@ def threat_filter(spark, sf_dir):
     label = F.when(F.col("toxic") == 1, "Suspicious text").otherwise("Routine text")
     return table(spark, sf_dir, "labels").select(label.alias("label")).groupBy(
         "label", suspicious(F.col("label")).cast("int").alias("threat")).agg(F.count("*").alias("n"))
+
+
+@query("select cast(doc_id as varchar) as flow_id, cast(quality as double) as \"alert.severity_1.0\", toxic from labels")
+def table_roundtrip(spark, sf_dir):
+    """A result table written as CSV with its public column names, and read back."""
+    out = new_path(spark, "tables")
+    rows = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("flow_id"),
+        F.col("quality").cast("double").alias("alert_severity_1_0"), "toxic")
+    write_table(rows, out, "demo", "labeled", "csv")
+    return read_table(spark, out, "demo", "labeled", "csv",
+                      "flow_id string, `alert.severity_1.0` double, toxic int")

@@ -9,7 +9,7 @@ from flowsieve.catalog.text import ENTROPY_SQL
 from flowsieve.catalog.views import EVE_SQL, event_rows
 from flowsieve.operators.collapse import collapse
 from flowsieve.operators.extract import extract, extract_counts, is_attack
-from flowsieve.operators.features import feature_matrix, indicators, robust_scale
+from flowsieve.operators.features import feature_matrix, fit_scaler, indicators, robust_scale
 from flowsieve.operators.ranking import exact_quantiles
 from flowsieve.operators.split import value_counts as count_values
 from flowsieve.operators.tuning import alert_frequency as frequency, enrich, rate_limit
@@ -106,6 +106,18 @@ def quantile_fit(spark, sf_dir):
         "column", "probability", F.round("value", 6).alias("value"))
 
 
+@query(" union all ".join(
+    f"select '{c}' as \"column\", round(q[2], 6) as center, round(case when q[3] = q[1] then 1 else q[3] - q[1] end, 6) as scale "
+    f"from (select quantile_cont({c}, [0.25, 0.5, 0.75]) as q from orders_)" for c in ("o_totalprice", "price_band")
+).replace("orders_", "(select o_totalprice, case when o_totalprice > 400000 then 1.0 else 0.0 end as price_band from orders)"))
+def scaler_fit(spark, sf_dir):
+    """Scaler parameters; a mostly constant column scales by 1."""
+    orders = table(spark, sf_dir, "orders").withColumn(
+        "price_band", F.when(F.col("o_totalprice") > 400000, 1.0).otherwise(0.0))
+    return fit_scaler(orders, ["o_totalprice", "price_band"]).select(
+        "column", F.round("center", 6).alias("center"), F.round("scale", 6).alias("scale"))
+
+
 _SCALE = [*_LINE_COLUMNS, "mostly_zero"]
 _SCALE_SOURCE = ("src as (select l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, "
                  "case when l_quantity = 50 then l_extendedprice else 0.0 end as mostly_zero from lineitem)")

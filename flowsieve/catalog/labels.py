@@ -12,6 +12,7 @@ from flowsieve.operators.propagate import label_contexts, propagate, propagate_l
 from flowsieve.operators.ranking import number_rows
 from flowsieve.operators.select import exemplars, outliers
 from flowsieve.operators.split import class_weights as weights, split_quota, train_test
+from flowsieve.plans.sanity import sample_labels
 from flowsieve.schema import LABEL_MALFORMED, LABEL_UNCLASSIFIED, LEGACY_DEFAULT_LABEL
 
 _CLUSTER = ("case event_type when 'signup' then 0 when 'click' then 1 when 'view' then 2 "
@@ -71,6 +72,18 @@ def label_propagation(spark, sf_dir):
         "ord", "cluster_label", "target_label")
 
 
+@query(f"""with {_REVIEW_SQL} select cluster_label, flow_id, array_to_string(string_split(context
+ || chr(10) || '- Cluster: ' || cluster_label || ' (membership probability ' || cluster_probability::double || ')', chr(10))[1:8], chr(10)) as context,
+ {rule_sql('context')} as label, 0.0::double as confidence from ex""")
+def sample_contexts(spark, sf_dir):
+    """Short descriptions of the first exemplars, with labels."""
+    rows = event_rows(spark, sf_dir).withColumns({
+        "cluster_label": F.expr(_EVE_CLUSTER),
+        "cluster_probability": ((F.col("ord") * 7919) % 1000 / 1000.0).cast("double"),
+    })
+    return sample_labels(rows, 5)
+
+
 _SCORED = "case when l.ord % 2 = 0 then 0.9 else 0.2 end"
 
 

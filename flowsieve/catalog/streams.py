@@ -8,9 +8,11 @@ from flowsieve.catalog import query, table
 from flowsieve.catalog.events import flow_rows
 from flowsieve.catalog.views import written_lines
 from flowsieve.operators.features import feature_matrix, robust_scale
+from flowsieve.plans.scoring import score_batch
 from flowsieve.plans.training import fit
 from flowsieve.runtime import new_path, stage
 from flowsieve.schema import Settings
+from flowsieve.sources.events import read_events
 from flowsieve.streaming.live import read_event_stream, score_stream, windowed_flows, write_alerts
 
 _TYPES = ["view", "signup", "error", "click", "purchase"]
@@ -50,16 +52,27 @@ def stream_windows(spark, sf_dir):
     return _flat(spark.read.schema(flows.schema).parquet(f"{out}/rows"))
 
 
-@query()
-def stream_score(spark, sf_dir):
-    """Alerts of a JSON-lines stream, scored with a model trained on the batch flows."""
-    flows = flow_rows(spark, sf_dir)
+def _scorer(spark, sf_dir):
+    """A forest that knows which flows had an alert, and the scaler it was trained with."""
+    flows = flow_rows(spark, sf_dir).withColumn("h_alert", F.col("alert_signature"))
     label = F.when(F.col("h_alert").isNotNull(), "Suspicious activity").otherwise("Routine traffic")
-    features, params = robust_scale(stage(feature_matrix(
-        flows.withColumn("h_alert", F.col("alert_signature")), keep=["flow_id", "h_alert"]), "features"))
+    features, params = robust_scale(stage(feature_matrix(flows, keep=["flow_id", "h_alert"]), "features"))
     model = fit(features.withColumn("target_label", label), Settings(iterations=5, depth=4), method="forest")
+    return model, params
 
+
+@query()
+def stream_score(spark, sf_dir):
+    """Alerts of a JSON-lines stream, scored with a model trained on the batch flows."""
+    model, params = _scorer(spark, sf_dir)
     logs, out = written_lines(spark, sf_dir), new_path(spark, "alerts")
     found = score_stream(read_event_stream(spark, logs), model, params)
     write_alerts(found, f"{out}/rows", f"{out}/state").awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{out}/rows")
+
+
+@query()
+def batch_score(spark, sf_dir):
+    """Alert lines of one batch of log files."""
+    model, params = _scorer(spark, sf_dir)
+    return score_batch(read_events(spark, written_lines(spark, sf_dir)), model, params)

@@ -60,15 +60,25 @@ def dns_failed(rcode: Column, case_sensitive: bool = False) -> Column:
     return F.when(code.isin(DNS_FAILURE_CODES), 1).otherwise(0)
 
 
+_BLANKS = " \t\n\r\x0b\x0c"
+# Plain decimal notation only: a cast alone also takes Java forms such as 80f or 1d.
+_NUMBER = r"^\s*[-+]?(\d+\.?|\d*\.\d+|\d+\.\d+)([eE][-+]?\d+)?\s*$"
+
+
+def as_double(c: Column) -> Column:
+    """Value of a text in plain number notation, else null."""
+    return F.when(c.rlike(_NUMBER), c.try_cast("double"))
+
+
 def number(c: Column) -> Column:
-    """Numeric value of a text; anything that is not a number becomes 0."""
-    value = c.try_cast("double")
-    return F.when(value.isNull() | F.isnan(value), F.lit(0.0)).otherwise(value)
+    """Numeric value of a text; anything that is no finite number becomes 0."""
+    value = as_double(c.cast("string"))
+    return F.when(F.abs(value) < float("inf"), value).otherwise(0.0)
 
 
 def trimmed(c: Column) -> Column:
     """Text without surrounding blanks; null becomes the empty string."""
-    return F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    return F.trim(F.coalesce(c.cast("string"), F.lit("")), F.lit(_BLANKS))
 
 
 def norm_port(c: Column, empty_as_null: bool = False) -> Column:
@@ -78,8 +88,8 @@ def norm_port(c: Column, empty_as_null: bool = False) -> Column:
     an empty text is null too).
     """
     text = c.cast("string")
-    as_int = F.trim(text).try_cast("double").try_cast("bigint").cast("string")
-    out = F.coalesce(as_int, F.trim(text))
+    plain = F.trim(text, F.lit(_BLANKS))
+    out = F.coalesce(as_double(plain).try_cast("bigint").cast("string"), plain)
     if empty_as_null:
         return F.when(text != "", out)
     return F.coalesce(out, F.lit(""))

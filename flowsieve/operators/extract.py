@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowsieve.functions.text import contains_ci, norm_port
+from flowsieve.functions.text import contains_ci, norm_port, trimmed
 from flowsieve.operators.ranking import take_by_quota
 
 
@@ -19,9 +19,9 @@ def is_attack(alert_contains: str | None = "Heartbleed", src_ip: str | None = No
             F.col("alert_category"), alert_contains)
     checks = []
     if src_ip:
-        checks.append(F.trim("src_ip") == src_ip.strip())
+        checks.append(trimmed(F.col("src_ip")) == src_ip.strip())
     if dest_ip:
-        checks.append(F.trim("dest_ip") == dest_ip.strip())
+        checks.append(trimmed(F.col("dest_ip")) == dest_ip.strip())
     if dest_port:
         wanted = norm_port(F.lit(str(dest_port)), empty_as_null=True)
         checks.append(norm_port(F.col("dest_port"), empty_as_null=True).eqNullSafe(wanted))

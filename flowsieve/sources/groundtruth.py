@@ -9,11 +9,8 @@ from flowsieve.functions.text import norm_port, trimmed
 
 def find_column(columns: list[str], *needles: str) -> str | None:
     """First column whose name contains all needles, ignoring case and outer blanks."""
-    for c in columns:
-        name = c.lower().strip()
-        if all(n.lower() in name for n in needles):
-            return c
-    return None
+    wanted = {n.lower() for n in needles}
+    return next((c for c in columns if all(w in c.strip().lower() for w in wanted)), None)
 
 
 def require_columns(df: DataFrame, columns: list[str]) -> None:

@@ -49,15 +49,15 @@ def test_entropy_of_a_long_text_is_whole(spark):
 
 
 def test_numbers(spark):
-    values = ["1", " 2.5 ", "x", None, "NaN", "1e3", ""]
-    assert column(spark, values, number(F.col("c"))) == [1.0, 2.5, 0.0, 0.0, 0.0, 1000.0, 0.0]
+    values = ["1", " 2.5 ", "x", None, "NaN", "1e3", "", "80f", "0x10", "inf", "1e999", "-.5", "+7."]
+    assert column(spark, values, number(F.col("c"))) == [1.0, 2.5, 0, 0, 0, 1000.0, 0, 0, 0, 0, 0, -0.5, 7.0]
     assert column(spark, ["5.0", "5", "5.5", "a.0"], plain_number(F.col("c"))) == ["5", "5", "5.5", "a.0"]
     assert column(spark, ["12.0", "1.05"], clean_flow_id(F.col("c"))) == ["12", "1.05"]
 
 
 def test_ports(spark):
-    values = ["444", "444.0", " 444 ", "abc ", None, "", "nan", "80.9"]
-    assert column(spark, values, norm_port(F.col("c"))) == ["444", "444", "444", "abc", "", "", "nan", "80"]
+    values = ["444", "444.0", " 444\t", "abc ", None, "", "nan", "80.9", "80d"]
+    assert column(spark, values, norm_port(F.col("c"))) == ["444", "444", "444", "abc", "", "", "nan", "80", "80d"]
     assert column(spark, ["", None, "1.0"], norm_port(F.col("c"), empty_as_null=True)) == [None, None, "1"]
     assert column(spark, [" a ", None], trimmed(F.col("c"))) == ["a", ""]
 
