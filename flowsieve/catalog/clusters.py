@@ -76,6 +76,17 @@ def components(spark, sf_dir):
         F.col("l_suppkey").alias("u"), (-1 - F.col("l_partkey")).alias("v")))
 
 
+@query("""with v as (select var_samp(l_discount) as a, var_samp(l_tax) as b, covar_samp(l_discount, l_tax) as c from lineitem),
+e as (select (a + b) / 2 as mid, sqrt((a - b) * (a - b) / 4 + c * c) as half from v)
+select cast(i as int) as component, round(case when i = 0 then mid + half else mid - half end / (2 * mid), 6) as share
+from e, (values (0), (1)) t(i)""")
+def pca_two_columns(spark, sf_dir):
+    """Variance shares of two columns; the oracle solves the quadratic equation."""
+    shares = explained_variance(table(spark, sf_dir, "lineitem"), ["l_discount", "l_tax"], 2)
+    return spark.createDataFrame(
+        [(i, round(v, 6)) for i, v in enumerate(shares)], "component int, share double")
+
+
 @query()
 def pca_variance(spark, sf_dir):
     """Variance shares of the first five principal components of the line item measures."""
