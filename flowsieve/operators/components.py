@@ -2,14 +2,15 @@
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014): every step is a
 grouped minimum and a join, and the number of rounds grows with the logarithm of the
-number of nodes. A hub collects many edges; the minimum combines on the map side, and the
-join back is one that adaptive execution splits, because its output is shuffled anyway.
+number of nodes. A hub collects many edges: its minimum combines on the map side, and the
+join back treats it as a hot key.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from flowsieve.operators.skew import lookup_join
 from flowsieve.runtime import stage
 
 MAX_ROUNDS = 50
@@ -23,7 +24,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     near = _both_ways(edges)
     low = near.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("low"))
     return (
-        near.filter("v > u").join(low, "u")
+        lookup_join(near.filter("v > u"), low, ["u"], "inner")
         .select(F.col("v").alias("u"), F.col("low").alias("v"))
         .filter("u <> v").distinct()
     )
@@ -34,7 +35,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     low = down.groupBy("u").agg(F.min("v").alias("low"))
     # A node's neighbours and the node itself all move under its lowest neighbour.
     return (
-        down.join(low, "u")
+        lookup_join(down, low, ["u"], "inner")
         .select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("low").alias("v")),
             F.struct(F.col("u"), F.col("low").alias("v")))).alias("e"))
@@ -42,16 +43,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (u, v); the root is the smallest node.
+def _is_settled(edges: DataFrame) -> bool:
+    """Every node hangs under one root only, and no root hangs under another."""
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")),
+    )).alias("e")).select("e.*")
+    seen = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return seen.filter(F.col("below") + F.col("above") > 1).isEmpty()
+
 
-    Done when no root is itself below another root, so every component is a star.
-    """
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (u, v); the root is the smallest node."""
     edges = stage(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     for _ in range(MAX_ROUNDS):
         edges = stage(_small_star(stage(_large_star(edges), "large_star")), "small_star")
-        roots = edges.select(F.col("v").alias("u")).distinct()
-        if edges.join(roots, "u", "left_semi").isEmpty():
+        if _is_settled(edges):
+            roots = edges.select(F.col("v").alias("node")).distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                roots.select(F.col("u").alias("node"), F.col("u").alias("root")))
+                roots.withColumn("root", F.col("node")))
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

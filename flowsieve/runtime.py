@@ -24,7 +24,9 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/flowsieve/{name}-{uuid.uuid4().hex}"
+    """A fresh path below one folder per application, which can be dropped when it has ended."""
+    app = spark.sparkContext.applicationId
+    return f"{work_dir(spark)}/flowsieve/{app}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:

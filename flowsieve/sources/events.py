@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from flowsieve.functions.labels import is_json_object, is_json_value
 from flowsieve.functions.text import fallback_flow_id
-from flowsieve.runtime import stage
+from flowsieve.operators.skew import lookup_join
 from flowsieve.schema import EVENT_COLUMNS, EVENT_SCHEMA, _DNS_RECORDS, col_name
 
 
@@ -27,9 +27,9 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def with_positions(lines: DataFrame) -> DataFrame:
     """Replace the place by ``ord``, the position over all files, and ``line_number``.
 
-    Both count from 1 and count blank lines. One counting pass gives the lines per block.
-    That table has one row per input block (about a millionth of the bytes read), so its
-    running sums and its broadcast are bounded by the number of blocks, not of lines.
+    Both count from 1 and count blank lines. One counting pass gives the lines per block. Its
+    table has one row per input block, about a millionth of the bytes read; up to a million
+    blocks it is broadcast.
     """
     earlier = (Window.unboundedPreceding, -1)
     blocks = lines.groupBy("file", "block").agg(
@@ -37,15 +37,13 @@ def with_positions(lines: DataFrame) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(*earlier))
     files = blocks.groupBy("file").agg(F.sum("n").alias("n"))
     skipped = F.sum("n").over(Window.orderBy("file").rowsBetween(*earlier))  # one row per file
-    blocks = stage(
-        blocks.withColumn("before", F.coalesce(before, F.lit(0))).drop("n").join(
-            files.select("file", F.coalesce(skipped, F.lit(0)).alias("skipped")), "file"),
-        "blocks")
+    blocks = blocks.withColumn("before", F.coalesce(before, F.lit(0))).drop("n").join(
+        files.select("file", F.coalesce(skipped, F.lit(0)).alias("skipped")), "file")
     # The lines are scanned again later; other files or split settings by then are an error.
     known = F.coalesce("first_row", F.raise_error(F.lit("the input or its splits changed")).cast("bigint"))
     line = F.col("before") + F.col("row") - known + 1
     return (
-        lines.join(F.broadcast(blocks), ["file", "block"], "left")
+        lookup_join(lines, blocks, ["file", "block"], max_broadcast_rows=1_000_000)
         .withColumn("line_number", line).withColumn("ord", F.col("skipped") + F.col("line_number"))
         .drop("block", "row", "first_row", "before", "skipped")
     )

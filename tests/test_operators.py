@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from hypothesis import given, settings, strategies as st
+from hypothesis import Phase, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from flowsieve.operators.components import connected_components
@@ -100,9 +100,7 @@ def test_features(spark):
     assert parity["c"]["flow_state_nan"] == 0 and parity["c"]["proto_nan"] == 1
 
 
-@settings(max_examples=5, deadline=None)
-@given(edges=st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
-def test_components(spark, edges):
+def check_components(spark, edges):
     parent = {x: x for e in edges for x in e if e[0] != e[1]}
 
     def find(x):
@@ -119,6 +117,20 @@ def test_components(spark, edges):
     assert got == {x: find(x) for x in parent}
 
 
+@settings(max_examples=6, deadline=None, phases=[Phase.generate])
+@given(edges=st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=4, max_size=40))
+def test_components(spark, edges):
+    check_components(spark, edges)
+
+
+def test_components_with_a_node_under_two_roots(spark):
+    """After one round 8 hangs under both 0 and 7, although neither hangs under anything."""
+    check_components(spark, [(0, 10), (7, 9), (9, 8), (8, 10)])
+    rng = random.Random(5)
+    for n in (60, 300):  # sparse random graphs, many components at once
+        check_components(spark, [(rng.randrange(n), rng.randrange(n)) for _ in range(n * 2 // 3)])
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     path = spark.range(0, 400).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     hub = spark.range(1001, 3000).select(F.col("id").alias("u"), F.lit(5000).cast("long").alias("v"))
