@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsieve.catalog import table
-from flowsieve.runtime import new_path
+from flowsieve.runtime import new_path, stage
 from flowsieve.schema import FLAT_COLUMNS
 
 _HOST = "split_part(split_part(url, '//', 2), '/', 1)"
@@ -128,6 +128,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def written_lines(spark: SparkSession, sf_dir: str) -> str:
     """The JSON lines as a folder of text files, in event order over the files."""
     path = new_path(spark, "lines")
-    event_lines(spark, sf_dir).repartitionByRange("ord").sortWithinPartitions("ord").select(
+    # staged, because a range partition reads its input twice
+    stage(event_lines(spark, sf_dir), "json").repartitionByRange("ord").sortWithinPartitions("ord").select(
         "value").write.text(path)
     return path
