@@ -161,6 +161,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     slim = docs.select(F.col(text_col).alias("text"), F.lit(None).cast("string").alias("id"))
     items = benchmark.select(F.lit("").alias("item_id"), F.col(item_text_col).alias("text"))
     _, hits = shared_passages(slim, items, "id", "text")
-    bad = hits.select(F.col("key").alias("_text_key")).distinct()
-    key = text_key(F.col(text_col))
-    return docs.join(bad, key == F.col("_text_key"), "left_anti")
+    bad = hits.select("key").distinct()
+    return docs.join(bad, text_key(docs[text_col]) == bad["key"], "left_anti")

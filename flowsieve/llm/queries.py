@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowsieve.llm.decontaminate import contamination
+from flowsieve.llm import langid, lm
+from flowsieve.llm.exact import exact_groups
+from flowsieve.llm.html import main_text
+from flowsieve.llm.mixing import mixed
+from flowsieve.llm.near import near_classes
+from flowsieve.llm.pii import pseudonymized
 from flowsieve.llm.registry import query, table
+from flowsieve.llm.secrets import addressed, findings_by_row, scan
+from flowsieve.llm.sharding import sharded
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -29,3 +37,107 @@ def op1_decontaminate(spark, sf_dir):
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query()
+def op5_kd_shards(spark, sf_dir):
+    """All documents in eight shards of near equal bytes, split along their metadata."""
+    docs = table(spark, sf_dir, "documents").withColumn(
+        "text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit(""))))
+    found = sharded(docs, ["doc_id", "text_crc32"], ["source", "lang", "n_chars", "doc_id"], shards=8)
+    return found.select("row.doc_id", "size", "row.text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(r"""with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
+s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+w as (select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as w,
+ 1.5::double * sum(source_size) over () as total from s),
+f as (select *, (total - coalesce(sum(2 * source_size) over (o rows between unbounded preceding and 1 preceding), 0)) * w
+ > cast(2 * source_size as double) * sum(w) over (o rows between current row and unbounded following) as is_full
+ from w window o as (order by source_size / w, source nulls last)),
+t as (select source, source_size, case when is_full then cast(2 * source_size as double) else
+ (total - coalesce(sum(case when is_full then 2 * source_size end) over (), 0)) * w / sum(case when not is_full then w end) over () end as target from f),
+c as (select doc_id, size, source_size, target, floor(round(target / source_size, 9)) as whole,
+ sum(size) over (partition by d.source order by md5(coalesce(cast(doc_id as varchar), ''))[1:15] rows unbounded preceding) as upto
+ from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target, cast(size * least(2, whole + case when upto <= target - whole * source_size then 1 else 0 end) as bigint) as taken from c""")
+def op9_mix(spark, sf_dir):
+    """Words of every document in a mixture of the sources to target weights."""
+    found = mixed(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("row.doc_id", "size", "source_size", "target",
+                        (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("""with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents)
+select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, text_sha256
+from d window g as (partition by text_sha256)""")
+def op4_exact(spark, sf_dir):
+    """Groups of documents with equal texts, looked up in a perfect hash of all distinct digests."""
+    return exact_groups(table(spark, sf_dir, "documents")).drop("member")
+
+
+@query()
+def op10_langid(spark, sf_dir):
+    """Language of every document, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))).withColumn("key", F.col("doc_id").cast("string")))
+    found = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"),
+                        langid.language(model, F.col("text")).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
+
+
+def _secret_sql(name: str, pattern: str, group: int, least: int) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""select rid, '{name}' as kind, upto - size as s, upto as e from (
+ select rid, i, len(whole) as size, ok, sum(len(gap) + len(whole)) over (partition by rid order by i) as upto from (
+ select rid, unnest(range(1, len(m) + 1)) as i, unnest(m) as whole, unnest(p[1:len(m)]) as gap, unnest(list_transform(g, lambda x: len(x) >= {least})) as ok from (
+ select rid, regexp_extract_all(text, '{pattern}') as m, regexp_extract_all(text, '{pattern}', {group}) as g,
+ regexp_split_to_array(text, '{pattern}') as p from d)) ) where ok"""
+
+
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+@query(f"""with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+f as ({_secret_sql("assign", _ASSIGN, 2, 8)} union all {_secret_sql("access", "AKIA[A-Z0-9]+", 0, 16)} union all {_secret_sql("hex", "[0-9a-f]+", 0, 32)}),
+a as (select rid, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+ string_agg(kind || ':' || s || ':' || e, ',' order by s, case kind when 'assign' then 0 when 'access' then 1 else 2 end) as spans from f group by rid)
+select doc_id, cast(coalesce(n_assign, 0) as bigint) as n_assign, cast(coalesce(n_access, 0) as bigint) as n_access,
+cast(coalesce(n_hex, 0) as bigint) as n_hex, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join a using (rid)""")
+def op7_secrets(spark, sf_dir):
+    """Secrets in every document, scanned once per distinct text."""
+    rows = addressed(table(spark, sf_dir, "documents"), ["doc_id"])
+    _, findings = scan(rows)
+    found = findings_by_row(rows, findings, ["doc_id"])
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
+@query(r"""with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|<footer|$)', 1) as x from pages),
+b as (select page_id, url, regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') as x from a),
+c as (select page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) as text from b)
+select page_id, url, text, cast(length(text) as bigint) as n_chars from c""")
+def op8_html(spark, sf_dir):
+    """Main text of every page. The oracle knows the one layout of these pages, the query does not."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", main_text(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query()
+def op2_pseudo_likelihood(spark, sf_dir):
+    """Pseudo-log-likelihood of every document under a network trained on all of them."""
+    return lm.scored(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query()
+def op3_surrogates(spark, sf_dir):
+    """Every document with its personal data replaced by surrogates."""
+    return pseudonymized(table(spark, sf_dir, "documents"), "the key of this run", ["doc_id"])
+
+
+@query()
+def op6_near_duplicates(spark, sf_dir):
+    """Near-duplicate class of every document, named by its smallest doc_id."""
+    found = near_classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", (F.col("place") == F.col("class_place")).alias("kept"))
