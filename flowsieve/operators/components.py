@@ -3,28 +3,22 @@
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014): every step is a
 grouped minimum and a join, and the number of rounds grows with the logarithm of the
 number of nodes. A hub collects many edges: its minimum combines on the map side, and the
-join back treats it as a hot key.
+join back is left to adaptive execution, which broadcasts small sides and splits skewed ones.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from flowsieve.operators.skew import lookup_join
-from flowsieve.runtime import stage
-
-MAX_ROUNDS = 50
-
-
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+from flowsieve.runtime import discard, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    near = _both_ways(edges)
-    low = near.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("low"))
+    near = edges.select(F.explode(F.array(
+        F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+    low = near.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
     return (
-        lookup_join(near.filter("v > u"), low, ["u"], "inner")
+        near.filter("v > u").join(low, "u")
         .select(F.col("v").alias("u"), F.col("low").alias("v"))
         .filter("u <> v").distinct()
     )
@@ -35,7 +29,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     low = down.groupBy("u").agg(F.min("v").alias("low"))
     # A node's neighbours and the node itself all move under its lowest neighbour.
     return (
-        lookup_join(down, low, ["u"], "inner")
+        down.join(low, "u")
         .select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("low").alias("v")),
             F.struct(F.col("u"), F.col("low").alias("v")))).alias("e"))
@@ -43,23 +37,31 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def _is_settled(edges: DataFrame) -> bool:
-    """Every node hangs under one root only, and no root hangs under another."""
-    ends = edges.select(F.explode(F.array(
+def _progress(edges: DataFrame) -> tuple[int, tuple]:
+    """Nodes that hang under several roots or are a root under another, and a print of the edges."""
+    ends = edges.select(F.xxhash64("u", "v").cast("decimal(38,0)").alias("mark"), F.explode(F.array(
         F.struct(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")),
         F.struct(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")),
-    )).alias("e")).select("e.*")
-    seen = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
-    return seen.filter(F.col("below") + F.col("above") > 1).isEmpty()
+    )).alias("e")).select("mark", "e.*")
+    seen = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"),
+                                    F.sum("mark").alias("mark"))
+    found = seen.agg(F.count_if(F.col("below") + F.col("above") > 1).alias("open"), F.sum("below"), F.sum("mark")).first()
+    return found["open"], tuple(found[1:])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v); the root is the smallest node."""
     edges = stage(edges.select("u", "v").filter("u <> v").distinct(), "edges")
-    for _ in range(MAX_ROUNDS):
-        edges = stage(_small_star(stage(_large_star(edges), "large_star")), "small_star")
-        if _is_settled(edges):
-            roots = edges.select(F.col("v").alias("node")).distinct()
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                roots.withColumn("root", F.col("node")))
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    before = None
+    while True:
+        unsettled, mark = _progress(edges)
+        if before is not None and not unsettled:
+            break
+        if mark == before:
+            raise RuntimeError("a round of components changed nothing and left open nodes")
+        before, last = mark, edges
+        edges = stage(_small_star(_large_star(edges)), "stars")
+        discard(last)
+    roots = edges.select(F.col("v").alias("node")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        roots.withColumn("root", F.col("node")))

@@ -38,3 +38,16 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(staged: DataFrame) -> None:
+    """Drop the files of a table that ``stage`` wrote, once nothing will read it again."""
+    spark = staged.sparkSession
+    base = f"{work_dir(spark)}/flowsieve/"
+    folders = {f.rsplit("/", 1)[0] for f in staged.inputFiles()}
+    for folder in folders:
+        if "/flowsieve/" not in folder or folder.split("/flowsieve/")[0].split(":")[-1].lstrip("/") != base.split(
+                "/flowsieve/")[0].split(":")[-1].lstrip("/"):
+            raise ValueError(f"{folder} is not a working table")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
