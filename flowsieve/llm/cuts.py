@@ -13,25 +13,27 @@ from pyspark.sql import DataFrame, Window, functions as F
 from flowsieve.runtime import stage
 
 DIGIT = 16
-KEY_BITS = 64  # keys are non-negative bigints
+PLACE_BITS = 64
 
 
-def weighted_cuts(rows: DataFrame, quotas: DataFrame, group: str, keys: list[str], weight: str) -> DataFrame:
+def weighted_cuts(rows: DataFrame, quotas: DataFrame, group: str, keys: dict[str, int], weight: str) -> DataFrame:
     """(group, cut_<key>..., left) for each group of ``quotas`` (group, quota) whose rows weigh more.
 
     Rows of the group whose keys are, in order, below the cut weigh ``quota - left`` together;
     the row at the cut weighs more than ``left``. A group that fits its quota whole has no row
-    here. ``keys`` together should be unique within a group; rows that share all keys are cut
-    in front of all of them.
+    here. ``keys`` are non-negative bigints, with the number of bits they use. Together they should be unique within a
+    group; rows that share all keys are cut in front of all of them.
     """
+    names = list(keys)
     state = quotas.select(group, F.col("quota").cast("double").alias("left"),
-                          *[F.lit(0).cast("bigint").alias(f"cut_{k}") for k in keys])
-    slim = rows.select(group, *keys, F.col(weight).alias("_w"))
-    for at, key in enumerate(keys):
-        for shift in range(KEY_BITS - DIGIT, -1, -DIGIT):
+                          *[F.lit(0).cast("bigint").alias(f"cut_{k}") for k in names])
+    slim = rows.select(group, *names, F.col(weight).alias("_w"))
+    for at, key in enumerate(names):
+        top = -(-keys[key] // DIGIT) * DIGIT
+        for shift in range(top - DIGIT, -1, -DIGIT):
             above = shift + DIGIT
-            inside = [F.col(k) == F.col(f"cut_{k}") for k in keys[:at]]
-            if above < KEY_BITS:
+            inside = [F.col(k) == F.col(f"cut_{k}") for k in names[:at]]
+            if above < top:
                 inside.append(F.shiftright(key, above) == F.shiftright(f"cut_{key}", above))
             near = slim.join(state, group)
             for condition in inside:
@@ -47,7 +49,7 @@ def weighted_cuts(rows: DataFrame, quotas: DataFrame, group: str, keys: list[str
             state = stage(state.join(first, group).select(
                 group, (F.col("left") - F.col("f._below")).alias("left"),
                 *[(F.col(f"cut_{k}") + F.shiftleft("f._digit", shift)).alias(f"cut_{k}") if k == key
-                  else F.col(f"cut_{k}") for k in keys],
+                  else F.col(f"cut_{k}") for k in names],
                 F.col("f._n").alias("_n")), "cuts")
             if state.filter("_n > 1").isEmpty():
                 return state.drop("_n")

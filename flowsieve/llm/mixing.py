@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowsieve.llm.cuts import below_cut, weighted_cuts
+from flowsieve.llm.cuts import PLACE_BITS, below_cut, weighted_cuts
 from flowsieve.runtime import stage
 
 WEIGHTS = [5, 2, 1]
@@ -101,7 +101,7 @@ def mixed(docs: DataFrame, columns: list[str], weights: list[int] = WEIGHTS, sha
     plan = stage(rates.withColumn("whole", F.floor(F.round("rate", 9)).cast("bigint")).withColumn(
         "quota", F.col("target") - F.col("whole") * F.col("source_size")), "mix_plan")
     order = ["_order", "_place"]
-    cuts = weighted_cuts(rows.select("skey", *order, "size"), plan, "skey", order, "size")
+    cuts = weighted_cuts(rows.select("skey", *order, "size"), plan, "skey", {"_order": 60, "_place": PLACE_BITS}, "size")
     more = (F.col("size") > 0) & (F.col("left").isNull() | below_cut(order))
     return (
         rows.join(plan.select("skey", "source_size", "target", "whole"), "skey").join(cuts, "skey", "left")

@@ -18,32 +18,34 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowsieve.llm.cuts import below_cut, weighted_cuts
+from flowsieve.llm.cuts import PLACE_BITS, below_cut, weighted_cuts
 from flowsieve.runtime import stage
 
 #: Rows of a slot bucket, about; a bucket is ordered in one task.
 BUCKET_ROWS = 20_000
-_SPAN = 2 ** 31 - 1
+#: Steps into which a dimension's range is cut.
+STEPS = 2 ** 16 - 1
 
 
-def _ordinal(column: str, kind: str) -> Column:
-    """A dimension as an integer from 0 to 2^31 - 1: logarithm of a number, hash of a text; null is 0."""
+def _measure(column: str, kind: str) -> Column:
+    """A dimension as a finite number: a text by its hash, null as 0."""
     if kind in ("string", "boolean", "date", "timestamp"):
-        value = F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(_SPAN - 1)) + 1
+        value = F.xxhash64(F.col(column).cast("string")).cast("double")
     else:
-        magnitude = F.log1p(F.abs(F.col(column).cast("double")))  # at most 710
-        value = (F.signum(F.col(column).cast("double")) * magnitude + 710) * 1_500_000
-    return F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint"))
+        value = F.col(column).cast("double")
+        value = F.when(~F.isnan(value), F.greatest(F.least(value, F.lit(1e300)), F.lit(-1e300)))
+    return F.when(F.col(column).isNotNull(), value).otherwise(0.0)
 
 
 def kd_shards(rows: DataFrame, dimensions: list[str], shards: int) -> DataFrame:
-    """Add ``shard`` to written rows of (size, _place, dimensions as integers).
+    """Add ``shard`` to written rows of (size, _place, dimensions as numbers).
 
     ``_place`` is unique. Rows of size 0 follow their neighbours in the order. No rows, no shards.
     """
     node = F.lit(0)
     root = rows.agg(*[F.min(d).alias(f"lo_{d}") for d in dimensions], *[F.max(d).alias(f"hi_{d}") for d in dimensions]).first()
-    width = {d: max(1, (root[f"hi_{d}"] or 0) - (root[f"lo_{d}"] or 0)) for d in dimensions}
+    low = {d: root[f"lo_{d}"] or 0.0 for d in dimensions}
+    width = {d: (root[f"hi_{d}"] or 0.0) - low[d] or 1.0 for d in dimensions}
     # A node is named by its first shard; it holds shards [first, first + count).
     counts = {0: shards}
     placed = rows.withColumn("shard", node)
@@ -55,13 +57,14 @@ def kd_shards(rows: DataFrame, dimensions: list[str], shards: int) -> DataFrame:
         quotas = {r["shard"]: r["bytes"] * (splits[r["shard"]] // 2) / splits[r["shard"]] for r in spread}
         along = F.lit(0).cast("bigint")
         for first, dimension in widest.items():
-            along = F.when(F.col("shard") == first, F.col(dimension)).otherwise(along)
-        # 31 bits of the dimension, then 32 bits of a hash that splits ties; both keys are non-negative.
+            steps = F.floor((F.col(dimension) - low[dimension]) / width[dimension] * STEPS).cast("bigint")
+            along = F.when(F.col("shard") == first, steps).otherwise(along)
+        # 16 bits of the dimension, then 32 bits of a hash that splits ties.
         keyed = placed.withColumn("_key", F.shiftleft(along, 32) + F.pmod(F.xxhash64("_place"), F.lit(2 ** 32)))
         if quotas:
             spark = rows.sparkSession
             wanted = spark.createDataFrame([(int(k), float(v)) for k, v in quotas.items()], "shard int, quota double")
-            cuts = weighted_cuts(keyed.filter(F.col("shard").isin(list(quotas))), wanted, "shard", ["_key", "_place"], "size")
+            cuts = weighted_cuts(keyed.filter(F.col("shard").isin(list(quotas))), wanted, "shard", {"_key": 48, "_place": PLACE_BITS}, "size")
             halves = F.lit(0)
             for first, n in splits.items():
                 halves = F.when(F.col("shard") == first, F.lit(n // 2)).otherwise(halves)
@@ -100,7 +103,7 @@ def sharded(docs: DataFrame, columns: list[str], dimensions: list[str], shards:
     names = [f"_d{i}" for i in range(len(dimensions))]
     rows = stage(docs.select(
         F.struct(*columns).alias("row"), size.alias("size"), F.monotonically_increasing_id().alias("_place"),
-        *[_ordinal(d, kinds[d]).alias(n) for d, n in zip(dimensions, names)]), "shard_rows")
+        *[_measure(d, kinds[d]).alias(n) for d, n in zip(dimensions, names)]), "shard_rows")
     if shards is None:
         shards = max(1, ceil((rows.agg(F.sum("size")).first()[0] or 0) / target_bytes))
     slim = rows.select("size", "_place", *names)
