@@ -54,14 +54,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = stage(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     before = None
     while True:
+        last, edges = edges, stage(_small_star(_large_star(edges)), "stars")
+        discard(last)
         unsettled, mark = _progress(edges)
-        if before is not None and not unsettled:
+        if not unsettled:
             break
         if mark == before:
             raise RuntimeError("a round of components changed nothing and left open nodes")
-        before, last = mark, edges
-        edges = stage(_small_star(_large_star(edges)), "stars")
-        discard(last)
+        before = mark
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         roots.withColumn("root", F.col("node")))
