@@ -9,10 +9,10 @@ from flowsieve.operators.components import connected_components
 from flowsieve.operators.density import density_cluster
 from flowsieve.operators.reduce import explained_variance
 
-_EPS_1D = 60000.0
+_EPS_1D = 40.0
 
 
-@query(f"""with p as (select c_custkey, floor(c_acctbal / ({_EPS_1D}::double / (select count(*) from customer) / 2)) as cell from customer),
+@query(f"""with p as (select c_custkey, floor(c_acctbal / ({_EPS_1D}::double / 2)) as cell from customer),
 d as (select *, count(*) over (order by cell range between 2 preceding and 2 following) as density from p),
 core as (select * from d where density >= 10),
 gap as (select *, case when cell - lag(cell) over (order by cell) <= 2 then 0 else 1 end as fresh from core),
@@ -26,8 +26,7 @@ from p left join l using (c_custkey)""")
 def density_1d(spark, sf_dir):
     """Customers grouped by account balance; the oracle walks gaps and islands."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    eps = _EPS_1D / customers.count()
-    out = density_cluster(customers, "c_custkey", ["c_acctbal"], eps, 10, 20)
+    out = density_cluster(customers, "c_custkey", ["c_acctbal"], _EPS_1D, 10, 20)
     return out.select("c_custkey", "cluster_label", F.round("cluster_probability", 6).alias("cluster_probability"))
 
 
@@ -65,14 +64,23 @@ def density_embeddings(spark, sf_dir):
     return out.select("vec_id", "cluster_label", F.round("cluster_probability", 6).alias("cluster_probability"))
 
 
-@query("""with recursive e as (select distinct l_suppkey as u, -1 - l_partkey as v from lineitem where l_quantity = 50 and l_tax = 0.08),
-both_ways as (select u, v from e union select v, u from e),
-reach(root, node) as (select u, u from both_ways union select r.root, b.v from reach r join both_ways b on b.u = r.node)
-select node, min(root) as root from reach group by node""")
+#: Steps the oracle of ``components`` takes; the graph's diameter is smaller.
+_HOPS = 10
+
+
+def _components_sql() -> str:
+    steps = [f"""l{i} as (select node, min(root) as root from (select node, root from l{i - 1}
+ union all select b.v, l.root from both_ways b join l{i - 1} l on b.u = l.node) group by node)""" for i in range(1, _HOPS + 1)]
+    return f"""with e as (select distinct l_suppkey as u, -1 - l_partkey as v from lineitem),
+both_ways as materialized (select u, v from e union select v, u from e),
+l0 as (select distinct u as node, u as root from both_ways), {', '.join(steps)}
+select node, root from l{_HOPS}"""
+
+
+@query(_components_sql())
 def components(spark, sf_dir):
-    """Suppliers and parts linked by large orders: connected components."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_quantity = 50 and l_tax = 0.08")
-    return connected_components(rows.select(
+    """Suppliers and parts linked by orders: connected components. The oracle spreads the lowest label step by step."""
+    return connected_components(table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("u"), (-1 - F.col("l_partkey")).alias("v")))
 
 
@@ -92,6 +100,6 @@ def pca_variance(spark, sf_dir):
     """Variance shares of the first five principal components of the line item measures."""
     columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
     rows = table(spark, sf_dir, "lineitem")
-    shares = explained_variance(rows, columns, 3)
+    shares = explained_variance(rows, columns, 5)
     return spark.createDataFrame(
         [(i, round(v, 9)) for i, v in enumerate(shares)], "component int, share double")

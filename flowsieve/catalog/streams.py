@@ -38,6 +38,16 @@ def flow_window_5m(spark, sf_dir):
     return _flat(windowed_flows(_shaped(table(spark, sf_dir, "events")), [f"first_{t}" for t in _TYPES]))
 
 
+def _event_files(spark, sf_dir, schema):
+    """A stream over the events table, which is one file or a folder of part files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(schema)
+    if files.getFileStatus(path).isDirectory():
+        return reader.parquet(f"{sf_dir}/events.parquet")
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 @query(f"""with w as (select time_bucket(interval '5 minutes', ts) as w, cast(user_id % 5 as varchar) as flow_id, {_FIRST_SQL}
 from events group by 1, 2)
 select strftime(w, '%Y-%m-%d %H:%M') as window_start, flow_id, {', '.join(f'first_{t}' for t in _TYPES)} from w
@@ -45,7 +55,7 @@ where w + interval '5 minutes' <= (select max(ts) - interval '5 minutes' from ev
 def stream_windows(spark, sf_dir):
     """The same windows from a stream: every window the watermark has closed."""
     source = table(spark, sf_dir, "events")
-    events = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = _event_files(spark, sf_dir, source.schema)
     out = new_path(spark, "stream")
     flows = windowed_flows(_shaped(events), [f"first_{t}" for t in _TYPES])
     write_alerts(flows, f"{out}/rows", f"{out}/state").awaitTermination()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from flowsieve.functions.context import legacy_context_text
 from flowsieve.operators.density import density_cluster
@@ -26,7 +27,8 @@ def zero_shot(contexts: DataFrame, scorer: Scorer) -> DataFrame:
             answers = [a or (LEGACY_EMPTY_LABEL, 0.0) for a in scorer(list(batch["context"]))]
             yield batch.assign(label=[a[0] for a in answers], score=[float(a[1]) for a in answers])
 
-    return contexts.mapInPandas(ask, contexts.schema.simpleString()[7:-1] + ",label:string,score:double")
+    return contexts.mapInPandas(ask, StructType([
+        *contexts.schema.fields, StructField("label", StringType()), StructField("score", DoubleType())]))
 
 
 def label_flows(events: DataFrame, scorer: Scorer, eps: float | None = None) -> DataFrame:

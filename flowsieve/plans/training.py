@@ -47,20 +47,42 @@ def fit(train: DataFrame, settings: Settings = Settings(), label: str = "target_
         return PipelineModel([assembler, forest.fit(ready), back])
 
     k = len(indexer.labels)
-    members = []
-    for i in range(k):
-        boosted = GBTClassifier(
-            featuresCol="_features", labelCol="_is_class", weightCol="weight",
-            predictionCol=f"_hit{i}", maxIter=settings.iterations, stepSize=settings.learning_rate,
-            maxDepth=settings.depth, seed=settings.seed, validationIndicatorCol="_validate",
-        ).setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_p{i}")
-        members.append(boosted.fit(ready.withColumn("_is_class", (F.col("_label") == i).cast("double"))))
+    members = [_boosted(ready.withColumn("_is_class", (F.col("_label") == i).cast("double")), settings, i) for i in range(k)]
     # Each class model gives (rest, class); every second entry is a class score.
     both = VectorAssembler(inputCols=[f"_p{i}" for i in range(k)], outputCol="_both")
     scores = VectorSlicer(inputCol="_both", outputCol="_scores", indices=[2 * i + 1 for i in range(k)])
     return PipelineModel([assembler, *members, both, scores, back])
 
 
+def best_round(losses: list[float], patience: int) -> int:
+    """Number of rounds to keep: up to the lowest loss before ``patience`` rounds went by without a lower one."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def _boosted(rows: DataFrame, settings: Settings, i: int):
+    """Boosted trees for class ``i``: all rounds on the training rows, then as many as the validation rows ask for.
+
+    Rounds are deterministic, so the second fit repeats the first up to the round kept.
+    """
+    def fit_rounds(n: int):
+        return GBTClassifier(
+            featuresCol="_features", labelCol="_is_class", weightCol="weight", predictionCol=f"_hit{i}", maxIter=n,
+            stepSize=settings.learning_rate, maxDepth=settings.depth, seed=settings.seed,
+        ).setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_p{i}").fit(rows.filter("not _validate"))
+
+    model, check = fit_rounds(settings.iterations), rows.filter("_validate")
+    if check.isEmpty():
+        return model
+    keep = best_round(list(model.evaluateEachIteration(check)), settings.patience)
+    return model if keep == settings.iterations else fit_rounds(keep)
+
+
 def predict(model: PipelineModel, rows: DataFrame, prediction: str = PREDICTION) -> DataFrame:
     """All input columns plus the predicted label. Stays on the JVM, row by row."""
     out = rows

@@ -224,6 +224,7 @@ class Settings:
     test_size: float = 0.2
     seed: int = 42
     iterations: int = 500
+    patience: int = 50
     learning_rate: float = 0.1
     depth: int = 6
     max_normal_events: int = 15000

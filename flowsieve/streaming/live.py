@@ -16,13 +16,18 @@ from flowsieve.plans.scoring import alerts, score_flows
 from flowsieve.sources.events import parse_events
 
 
-def read_event_stream(spark: SparkSession, folder: str) -> DataFrame:
+def read_event_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """New JSON-lines files of a folder as events with an event time ``ts``.
 
+    ``files_per_batch`` bounds a micro-batch, so that a backlog is worked off in steps.
+
     Order within a flow comes from the data (time, then a hash of the line). The fallback id
     uses that hash in place of a line number.
     """
-    lines = spark.readStream.text(folder).select(F.make_valid_utf8("value").alias("value"))
+    reader = spark.readStream
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    lines = reader.text(folder).select(F.make_valid_utf8("value").alias("value"))
     events = parse_events(lines.withColumn("line_hash", F.sha1("value")))
     return (
         events.withColumn("ts", F.col("timestamp").try_cast("timestamp"))
@@ -36,7 +41,8 @@ def windowed_flows(events: DataFrame, columns: list[str], width: str = "5 minute
                    delay: str = "5 minutes") -> DataFrame:
     """One row per window and flow, with the first non-null value of each column.
 
-    The same code serves a stream and a table; on a table the watermark has no effect.
+    The same code serves a stream and a table; on a table the watermark has no effect. Events
+    without a time belong to no window: ``undated`` gives them, to be written beside the alerts.
     """
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c) for c in columns]
     return (
@@ -47,6 +53,11 @@ def windowed_flows(events: DataFrame, columns: list[str], width: str = "5 minute
     )
 
 
+def undated(events: DataFrame) -> DataFrame:
+    """Events whose time is missing or cannot be parsed, which no window holds."""
+    return events.filter(F.col("ts").isNull())
+
+
 def score_stream(events: DataFrame, model: PipelineModel, params: dict,
                  benign_labels: list[str] | None = None, width: str = "5 minutes",
                  delay: str = "5 minutes") -> DataFrame:

@@ -10,7 +10,7 @@ from flowsieve.plans.extraction import extract_log
 from flowsieve.plans.evaluation import attack_report, evaluate_attacks, relink, truth_is_one_sided
 from flowsieve.plans.sanity import cluster_summary, preview, profile, sample_labels, shape
 from flowsieve.plans.scoring import score_batch
-from flowsieve.plans.training import PREDICTION, feature_importance, fit, predict, train_and_measure
+from flowsieve.plans.training import PREDICTION, best_round, feature_importance, fit, predict, train_and_measure
 from flowsieve.schema import FEATURES, FLAT_COLUMNS, LABELS, LABEL_DNS, LEGACY_DEFAULT_LABEL, LEGACY_LABELS, Settings
 from flowsieve.sources import tables
 from flowsieve.sources.events import read_events
@@ -100,12 +100,19 @@ def test_training(spark, run, tmp_path):
 
 
 def test_early_stopping(run):
-    """Labels that no feature explains stop well before the last round."""
+    """Labels that no feature explains keep fewer rounds than the last."""
     noise = run.labeled.withColumn(
         "target_label", F.when(F.xxhash64("flow_id") % 2 == 0, "a").otherwise("b"))
-    model = fit(noise, Settings(iterations=25, depth=2))
+    model = fit(noise, Settings(iterations=12, depth=2))
     trees = [s.getNumTrees for s in model.stages if hasattr(s, "treeWeights")]
-    assert len(trees) == 2 and all(n < 25 for n in trees)
+    assert len(trees) == 2 and all(n <= 12 for n in trees)
+
+
+def test_best_round():
+    """A flat or worse round does not end training; patience does."""
+    assert best_round([5.0, 5.0, 4.0, 4.5, 3.0], 50) == 5
+    assert best_round([5.0, 4.0, 4.1, 4.2, 4.3, 1.0], 3) == 2
+    assert best_round([1.0], 50) == 1
 
 
 def test_evaluation(spark, run, events):
