@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -173,3 +174,27 @@ def test_scored_edges(edge_docs, no_docs):
     assert len(rows) == 10 and sum(r["n_tokens"] == 0 for r in rows) == 3
     assert all((r["mean_logprob"] is None) == (r["n_tokens"] == 0) for r in rows)
     assert lm.scored(no_docs, ["doc_id"], rounds=1).count() == 0
+
+
+def test_every_word_has_its_own_probability(spark, monkeypatch):
+    monkeypatch.setattr(lm, "WORDS_PER_ID", 2)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(w for k, w in enumerate(words) for _ in range(1 + 9 // (1 + k)) if (k + d) % 4) for d in range(6)] + ["w5 once", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    count = Counter(w for t in texts for w in t.split())
+    alone, totals = lm.tokenized(docs, ["doc_id"])
+    assert len(totals) == lm.classes_for(len(count)) ** 2 > lm.VOCABULARY and totals.sum() == sum(count.values())
+    id_of, rows = {}, {r["doc_id"]: r for r in alone.collect()}
+    for d, text in enumerate(texts):
+        ids = np.frombuffer(rows[d]["tokens"], np.uint32)
+        assert len(ids) == len(text.split())
+        id_of |= dict(zip(text.split(), ids))
+    for d, text in enumerate(texts):
+        assert rows[d]["within"] == pytest.approx(sum(np.log(count[w] / totals[id_of[w]]) for w in text.split()))
+    assert len(set(id_of.values())) < len(id_of) and any(r["within"] < 0 for r in rows.values())
+    assert lm.classes_for(68_844) < lm.classes_for(280_729)
+    got = {r["doc_id"]: r for r in lm.scored(docs, ["doc_id"], rounds=1).collect()}
+    weights = lm.train(alone, totals, 1)
+    for r in alone.collect():
+        want = lm.log_probabilities(weights, lm._ids([r["tokens"]]))[0] + r["within"]
+        assert got[r["doc_id"]]["logprob"] == pytest.approx(want, abs=1e-2)
