@@ -198,3 +198,21 @@ def test_every_word_has_its_own_probability(spark, monkeypatch):
     for r in alone.collect():
         want = lm.log_probabilities(weights, lm._ids([r["tokens"]]))[0] + r["within"]
         assert got[r["doc_id"]]["logprob"] == pytest.approx(want, abs=1e-2)
+
+
+def test_every_position_is_trained(spark):
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, lm.VOCABULARY, n) for n in (0, 40_000, 3, 70_000, 1, 30_000)]
+    ways = [[docs], [[d] for d in docs], [docs[:2], [], docs[2:]]]
+    parts = [[*lm._slices(iter(way), lm.PAD)] for way in ways]
+    assert all([len(t) for _, t in p] == [lm.SLICE, lm.SLICE, 140_004 - 2 * lm.SLICE] for p in parts)
+    assert (np.concatenate([t for _, t in parts[0]]) == np.concatenate(docs)).all()
+    learned = []
+    for way in ways:
+        w = lm.initial_weights(1)
+        assert lm.learn(w, iter(way)) == 140_004
+        learned.append(lm.pack(w))
+    assert (learned[0] == learned[1]).all() and (learned[0] == learned[2]).all()
+    # One partition: the weights are those of its own steps.
+    rows = spark.createDataFrame([(d.astype(np.uint32).tobytes(),) for d in docs], "tokens binary").coalesce(1)
+    assert lm.pack(lm.train(rows, rounds=1, seed=1)) == pytest.approx(learned[0], abs=1e-5)
