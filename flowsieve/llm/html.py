@@ -1,10 +1,11 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks, the text between block tags. The first pass decides what it can:
-a block in a menu, footer, advert, form or comment section, or one that is mostly links, is
-bad; a long block in the article element, or a long one with many stop words where a page has no such
-element, is good. Short blocks stay open. In the second pass an open block takes the label of its
-nearest decided neighbours.
+A page is cut into blocks, the text between block tags. The first pass decides what it can, on every page:
+a block in a menu, footer, advert, form or comment section, or one with many linked characters, is
+bad; a long block scores by its stop words. The main element is the article, main or content element that holds most of the
+page's good text. Inside it a long block scores one step higher, outside it, or in an article element without good text, every
+block one step lower. Short blocks and headings stay open. In the second pass an open block takes the label of its
+nearest decided neighbours, inside the main element of those inside, and a heading there that of its section.
 
 Pages are independent: one pass over the table, no shuffle. Parsing is a linear scan of tags;
 memory is about 10 times the longest page.
@@ -21,7 +22,7 @@ from pyspark.sql import Column, functions as F
 #: Characters from which a block is long.
 LONG = 70
 #: Share of stop words and of linked characters.
-STOP_DENSITY, FEW_STOPS, MAX_LINKS, ALL_LINKS = 0.3, 0.15, 0.35, 0.9
+STOP_DENSITY, FEW_STOPS, MAX_LINKS = 0.3, 0.15, 0.35
 
 #: Frequent words of some languages; names of elements, and words of classes and ids.
 STOP_WORDS = frozenset("""
@@ -51,6 +52,8 @@ _ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden|itemprop)\s*(?:=\
 _WORD = re.compile(r"[^\W\d_]+")
 
 BAD, MAIN_CLASS, MAIN, ARTICLE, HEADER, LINK = 1, 2, 4, 8, 16, 32
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+Block = tuple[str, int, float, str, int]
 
 
 def _flags(tag: str, attrs: str, now: int) -> int:
@@ -85,30 +88,36 @@ def _flags(tag: str, attrs: str, now: int) -> int:
     return flags
 
 
-def blocks(html: str) -> list[tuple[str, int, float, str]]:
-    """(text, flags, share of linked characters, innermost block element) in page order, without empty blocks."""
-    out: list[tuple[str, int, float, str]] = []
-    stack: list[tuple[str, int]] = []
+def blocks(html: str) -> tuple[list[Block], list[tuple[int, int]]]:
+    """Blocks in page order, without empty ones, and the elements that may be the main one.
+
+    A block is (text, flags, share of linked characters, innermost block element, innermost possible main element or -1).
+    An element is (the one around it or -1, its flags as such an element).
+    """
+    out: list[Block] = []
+    elements: list[tuple[int, int]] = []
+    stack: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = total = 0
-    block_flags, block_tag, at = 0, "", 0
+    block_flags, block_tag, block_element, at = 0, "", -1, 0
 
     def close() -> None:
         nonlocal parts, linked, total
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, block_flags, linked / max(total, 1), block_tag))
+            out.append((text, block_flags, linked / max(total, 1), block_tag, block_element))
         parts, linked, total = [], 0, 0
 
     def say(text: str) -> None:
-        nonlocal linked, total, block_flags, block_tag
+        nonlocal linked, total, block_flags, block_tag, block_element
         now = stack[-1][1] if stack else 0
         if parts and (now ^ block_flags) & ~LINK:  # an inline element with flags of its own
             close()
         text = unescape(text)
         if not parts:
             block_flags = now & ~LINK
-            block_tag = next((t for t, _ in reversed(stack) if t in BLOCK), "")
+            block_tag = next((t for t, _, _ in reversed(stack) if t in BLOCK), "")
+            block_element = stack[-1][2] if stack else -1
         parts.append(text)
         size = len(text.strip())
         total += size
@@ -141,56 +150,100 @@ def blocks(html: str) -> list[tuple[str, int, float, str]]:
                 leave("p", CONTAINERS)
             if tag == "li":
                 leave("li", LISTS)
-            stack.append((tag, _flags(tag, m["attrs"] or "", stack[-1][1] if stack else 0)))
+            now, element = stack[-1][1:] if stack else (0, -1)
+            flags = _flags(tag, m["attrs"] or "", now)
+            own = _flags(tag, m["attrs"] or "", 0) & (ARTICLE | MAIN | MAIN_CLASS) if flags & (ARTICLE | MAIN | MAIN_CLASS) else 0
+            if own:
+                elements.append((element, own))
+                element = len(elements) - 1
+            stack.append((tag, flags, element))
     if at < len(html):
         say(html[at:])
     close()
-    return out
+    return out, elements
 
 
 CONTAINERS = frozenset("article aside body blockquote div dd dt fieldset figure footer form header html li main nav section table td th".split())
 LISTS = frozenset("ul ol menu".split())
 
 
-def classify(found: list[tuple[str, int, float, str]]) -> list[bool]:
+def _main(found: list[Block], stops: list[float], elements: list[tuple[int, int]]) -> tuple[list[bool], list[bool]]:
+    """Whether each element lies in the main one, and whether it has none of the page's good text."""
+    holds, total = [0] * len(elements), 0
+    for (text, flags, links, tag, element), share in zip(found, stops):
+        least = STOP_DENSITY if element < 0 else FEW_STOPS
+        if not flags & BAD and links <= MAX_LINKS and len(text) >= LONG and tag not in HEADINGS and share >= least:
+            total += len(text)
+            if element >= 0:
+                holds[element] += len(text)
+    for i in range(len(elements) - 1, -1, -1):  # an element comes after the one around it
+        if elements[i][0] >= 0:
+            holds[elements[i][0]] += holds[i]
+    kinds = (ARTICLE, MAIN, MAIN_CLASS)
+    chosen: set[int] = set()
+    if total:
+        most = [i for i, n in enumerate(holds) if 2 * n > total]
+        first = next(([i for i in most if elements[i][1] & kind] for kind in kinds if any(elements[i][1] & kind for i in most)), [])
+        if first:
+            chosen = {first[0]}
+        elif 2 * sum(n for (around, _), n in zip(elements, holds) if around < 0) > total:
+            chosen = {i for i, n in enumerate(holds) if n}
+    else:
+        seen = {b[4] for b in found if not b[1] & BAD and b[4] >= 0}
+        for i in range(len(elements) - 1, -1, -1):
+            if i in seen:
+                seen.add(elements[i][0])
+        kind = next((k for k in kinds if any(elements[i][1] & k for i in seen if i >= 0)), 0)
+        chosen = {i for i, (_, own) in enumerate(elements) if own & kind}
+    inside: list[bool] = []
+    for i, (around, _) in enumerate(elements):
+        inside.append(i in chosen or around >= 0 and inside[around])
+    return inside, [bool(total) and not n for n in holds]
+
+
+def classify(found: list[Block], elements: list[tuple[int, int]]) -> list[bool]:
     """Whether each block belongs to the main text."""
-    main = next((f for f in (ARTICLE, MAIN, MAIN_CLASS) if any(b[1] & f and not b[1] & BAD for b in found)), 0)
+    stops = []
+    for block in found:
+        words = _WORD.findall(block[0].lower())
+        stops.append(sum(w in STOP_WORDS for w in words) / max(len(words), 1))
+    main, idle = _main(found, stops, elements)
     labels: list[bool | None] = []
-    strong = []
-    for text, flags, links, tag in found:
-        words = _WORD.findall(text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-        strong.append(stops >= STOP_DENSITY)
-        if flags & BAD:
+    within = []
+    for (text, flags, links, tag, element), share in zip(found, stops):
+        inside = element >= 0 and main[element]
+        within.append(inside and not flags & BAD)
+        long = len(text) >= LONG and tag not in HEADINGS
+        if flags & BAD or links > MAX_LINKS and not (inside and tag in HEADINGS):
             label: bool | None = False
-        elif main:
-            menu = tag == "li" and links >= ALL_LINKS
-            label = None if flags & main and not menu and len(text) < LONG else bool(flags & main) and not menu
-        elif links > MAX_LINKS or "©" in text or "&copy" in text:
+        elif ("©" in text or "&copy" in text) and not (inside and long):
             label = False
-        elif len(text) < LONG or tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            label = None
         else:
-            label = True if stops >= STOP_DENSITY else None if stops >= FEW_STOPS else False
+            score = 1 if not long else 2 if share >= STOP_DENSITY else 1 if share >= FEW_STOPS else 0
+            if inside:
+                score += long
+            elif any(main) or element >= 0 and idle[element]:
+                score -= 1
+            elif element >= 0:
+                score += long
+            label = True if score >= 2 else None if score == 1 else False
         labels.append(label)
-    if main:  # open blocks are inside the main element, where its own long blocks are their neighbours
-        return [label is not False for label in labels]
-    before, after, last = [], [], None
-    for i, label in enumerate(labels):
-        last = (i, label) if label is not None else last
-        before.append(last)
-    last = None
-    for i in range(len(labels) - 1, -1, -1):
-        last = (i, labels[i]) if labels[i] is not None else last
-        after.append(last)
-    after.reverse()
+    before, after = _nearest(labels, within), _nearest(labels[::-1], within[::-1])[::-1]
+    section = _sections(found, labels, within)
     out = []
     for i, label in enumerate(labels):
         if label is None:
-            left, right = before[i] or (-1, False), after[i] or (len(labels), False)
-            if left[1] == right[1]:
+            left = (before[i], labels[before[i]]) if before[i] >= 0 else None
+            right = (len(labels) - 1 - after[i], labels[len(labels) - 1 - after[i]]) if after[i] >= 0 else None
+            if within[i]:  # only neighbours inside count; without any the element decides
+                left, right = left or right or (i, True), right or left or (i, True)
+            else:
+                left, right = left or (-1, False), right or (len(labels), False)
+            if section[i] is not None:
+                label = section[i]
+            elif left[1] == right[1]:
                 label = left[1]
-            elif strong[i] and len(found[i][0]) >= LONG:
+            elif stops[i] >= STOP_DENSITY and len(found[i][0]) >= LONG:
                 label = True
             else:
                 label = left[1] if i - left[0] < right[0] - i else right[1]
@@ -198,10 +251,38 @@ def classify(found: list[tuple[str, int, float, str]]) -> list[bool]:
     return out
 
 
+def _nearest(labels: list[bool | None], within: list[bool]) -> list[int]:
+    """The last decided block up to each one, or -1; for a block within the main element, the last one within."""
+    out, last, last_within = [], -1, -1
+    for i, label in enumerate(labels):
+        if label is not None:
+            last = i
+            last_within = i if within[i] else last_within
+        out.append(last_within if within[i] else last)
+    return out
+
+
+def _sections(found: list[Block], labels: list[bool | None], within: list[bool]) -> list[bool | None]:
+    """For each open heading within the main element, whether its section has a good block; None where nothing is decided."""
+    out: list[bool | None] = [None] * len(found)
+    ends: list[bool | None] = [None] * 7  # what is decided from here to the next heading of this level or above
+    for i in range(len(found) - 1, -1, -1):
+        if not within[i]:
+            continue
+        tag = found[i][3]
+        if labels[i] is not None:
+            ends = [bool(e) or labels[i] for e in ends]
+        if tag in HEADINGS:
+            level = int(tag[1])
+            out[i] = ends[level] if labels[i] is None else None
+            ends[level:] = [None] * (7 - level)
+    return out
+
+
 def extract(html: str) -> str:
     """Main text of a page: its good blocks joined by one space."""
-    found = blocks(html)
-    return " ".join(b[0] for b, good in zip(found, classify(found)) if good)
+    found, elements = blocks(html)
+    return " ".join(b[0] for b, good in zip(found, classify(found, elements)) if good)
 
 
 def main_text(html: Column) -> Column:

@@ -64,6 +64,21 @@ def test_html(main, want):
     assert extract(PAGE.format(main=main)) == want
 
 
+def test_html_rules_hold_in_articles():
+    row = "<p><a href=/a>More of the news of today</a> | <a href=/b>All that was in the week</a> | <a href=/c>This is on the site as well</a></p>"
+    text = f"<p>{TEXT}</p>"
+    by = "<div>By <a href=/x>Jane Smith of the paper</a></div>"
+    assert extract(f"<article><h1>Head</h1>{by}{text}{row}<div><a href=/d>Buy it</a></div><p>So.</p>{text}</article>") == f"Head {CLEAN} So. {CLEAN}"
+    tail = f"<article>{text}<h2>Links</h2>{row}{row}<h2>End</h2>{text}<p>&copy; me</p></article>"
+    assert extract(tail) == f"{CLEAN} End {CLEAN}"
+    card = "<article class=card><h3>Card</h3><p>Short words.</p></article>"
+    body = f"<div>{text}<p>Of it.</p>{text}</div>"
+    for page in (card + card + body, body + card, card + body + card):
+        assert extract(page) == f"{CLEAN} Of it. {CLEAN}"
+    assert extract(f"{card}<main><h1>Head</h1>{text}{text}</main>{card}") == f"Head {CLEAN} {CLEAN}"
+    assert extract("<article>" * 3000 + text) == CLEAN
+
+
 def test_html_edges():
     assert extract("") == "" and extract("plain < text") == ""
     assert extract("<article>a < b &lt;i&gt; <!-- x > <p>y</p> -->c d<p>e</article>") == "a < b <i> c d e"
