@@ -6,7 +6,8 @@ around the same signs, a name by one of the same gender and script. The replacem
 without the key it cannot be recomputed, with it every run agrees.
 
 The same entity gets the same surrogate in all documents, whatever its spelling; names are
-replaced part by part, so a later "Mrs. Smith" still points to "Mrs. Jane Smith". Different entities get different surrogates, and
+replaced part by part, so a later "Mrs. Smith" still points to "Mrs. Jane Smith". A name is found behind a title; its parts are
+then replaced wherever the same text has them as capitalised words, so "Jane" and "Smith" alone point to her too. Different entities get different surrogates, and
 no surrogate is an entity of the corpus: distinct entities are collected once, drawn
 against each other and against all real ones, and those that collide draw again.
 
@@ -38,7 +39,8 @@ SYLLABLES = "ba be bo da de do fa fe ga go ha ka ke ko la le lo ma me mo na ne n
 #: Alphabets of other scripts: first letter and count of its lower case.
 ALPHABETS = [("а", 32), ("α", 17), ("ա", 38), ("א", 27), ("ا", 1), ("ب", 7)]
 
-_NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+#: A name ends before a possessive s.
+_NAME = r"[^\W\d_]+(?:[-'’](?!s\b)[^\W\d_]+)*"
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 PATTERNS = re.compile(
     r"(?P<email>[\w.%+-]*\w@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
@@ -97,6 +99,29 @@ def mentions(text: str) -> list[Mention]:
     return out
 
 
+def with_repeats(text: str, found: list[Mention]) -> list[Mention]:
+    """``found`` and the other places where the text has a found name part as a whole, capitalised word, in order.
+
+    Single letters are no such parts. A part that was found as given and as last name is taken as it was found first.
+    """
+    kinds: dict[str, str] = {}
+    for m in found:
+        if m.kind.startswith("name") and len(m.entity) > 1:
+            kinds.setdefault(m.entity, m.kind)
+    if not kinds:
+        return found
+    parts = "|".join(map(re.escape, sorted(kinds, key=len, reverse=True)))
+    out, at = [], 0
+    for m in re.finditer(rf"(?<!\w)(?:{parts})(?!\w)", text, re.I):
+        while at < len(found) and found[at].end <= m.start():
+            out.append(found[at])
+            at += 1
+        apart = at == len(found) or m.end() <= found[at].start
+        if apart and not m[0][0].islower() and m[0].lower() in kinds:
+            out.append(Mention(kinds[m[0].lower()], m.start(), m.end(), m[0]))
+    return out + found[at:]
+
+
 class Draw:
     """Keyed draws for one entity and attempt."""
 
@@ -217,7 +242,7 @@ def draw_surrogates(known: DataFrame, key: str) -> DataFrame:
 
 def replace(text: str, table: dict[tuple[str, str], str]) -> str:
     out, at = [], 0
-    for m in mentions(text):
+    for m in with_repeats(text, mentions(text)):
         out += [text[at:m.start], m.render(table[m.kind, m.entity])]
         at = m.end
     return "".join(out) + text[at:]

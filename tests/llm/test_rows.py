@@ -143,6 +143,21 @@ def test_surrogates(spark, edge_docs, no_docs):
     assert pii.pseudonymized(edge_docs, "k", ["doc_id", "row"]).count() == 10 and pii.pseudonymized(no_docs, "k", ["doc_id"]).count() == 0
 
 
+def test_names_without_title_follow(spark):
+    texts = ["Jane came. Mrs. Jane Smith called. Later Jane wrote to Smith, SMITH's son and Smithson; smith and jane.smith@a.org stay.",
+             "Jane and Smith of another text stay.", "Mr. A Poe saw A Plan of Poe's and Poe-like Mr. Poe's."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymized(docs, "k", ["doc_id"]).collect()}
+    jane, smith = (m.written for m in pii.mentions(got[0])[:2])
+    assert jane != "Jane" and smith != "Smith"
+    mail = pii.mentions(got[0])[-1].written
+    assert got[0] == (f"{jane} came. Mrs. {jane} {smith} called. Later {jane} wrote to {smith}, {smith.upper()}'s son and Smithson; "
+                      f"smith and {mail} stay.")
+    assert got[1] == texts[1]
+    a, poe = (m.written for m in pii.mentions(got[2])[:2])
+    assert got[2] == f"Mr. {a} {poe} saw A Plan of {poe}'s and {poe}-like Mr. {poe}'s."
+
+
 def test_surrogates_do_not_collide(spark):
     known = spark.range(150).select(F.lit("name_f").alias("kind"), F.concat(F.lit("n"), "id").alias("entity")).union(
         spark.createDataFrame([("name_m", g.lower()) for g in pii.GIVEN["m"]], "kind string, entity string"))
