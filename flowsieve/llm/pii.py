@@ -18,6 +18,9 @@ from __future__ import annotations
 
 import hmac
 import re
+import sys
+import unicodedata
+from bisect import bisect_right
 from functools import cache
 from hashlib import sha256
 
@@ -36,11 +39,26 @@ GIVEN = {
     "x": "Alex Andrea Charlie Dominique Eden Jamie Kim Lou Mika Noa Robin Sam Sascha Toni Uli".split(),
 }
 SYLLABLES = "ba be bo da de do fa fe ga go ha ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve wa we za zo".split()
-#: Alphabets of other scripts: first letter and count of its lower case.
-ALPHABETS = [("а", 32), ("α", 17), ("ա", 38), ("א", 27), ("ا", 1), ("ب", 7)]
+#: Code points between two letters of a script that still count as one alphabet, if no letter of the other case is there.
+GAP = 8
+
+
+def _classes(test) -> str:
+    """Code points that pass a test, as ranges of a pattern's character class."""
+    out, start = [], None
+    for o in range(0x300, 0x20000):
+        if test(chr(o)):
+            start = o if start is None else start
+        elif start is not None:
+            out.append(f"{chr(start)}-{chr(o - 1)}")
+            start = None
+    return "".join(out)
+
 
-#: A name ends before a possessive s.
-_NAME = r"[^\W\d_]+(?:[-'’](?!s\b)[^\W\d_]+)*"
+#: Vowel signs and other marks, which are parts of words but no letters; a name ends before a possessive s.
+_MARKS = _classes(lambda c: unicodedata.category(c) in ("Mn", "Mc"))
+_LETTERS = rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*"
+_NAME = rf"{_LETTERS}(?:[-'’](?!s\b){_LETTERS})*"
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 PATTERNS = re.compile(
     r"(?P<email>[\w.%+-]*\w@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
@@ -50,8 +68,11 @@ PATTERNS = re.compile(
     r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
     r"|(?P<phone>(?<![\w.+-])(?:\+\d{7,15}|\+?(?:\d{1,3}[ .-])?(?:\(\d{1,4}\)|\d{2,4})[ .-]\d{2,4}(?:[ .-]\d{2,4}){1,3})(?![\w-]|\.\d))"
     rf"|(?P<person>\b(?P<title>{_TITLE})(?P<gap>\.?\ )(?P<names>(?=[^\W\d_a-z]){_NAME}(?:\ (?=[^\W\d_a-z]){_NAME}){{0,2}}))")
-#: A text that this does not find holds none of the above.
-QUICK = r"@|[0-9][^0-9]{0,3}[0-9][^0-9]{0,3}[0-9][^0-9]{0,3}[0-9]|\b(?:" + _TITLE + r")\.? \p{Lu}"
+_INITIALS = "".join(sorted({t[0] for t in TITLES}))
+_TAILS = "|".join(t[1:] for t in sorted(TITLES, key=len, reverse=True))
+#: A text that this does not find holds none of the above. One sign decides at most places, so it is cheap.
+QUICK = (r"[@\p{Nd}A-Z](?:(?<=@)|(?<=\p{Nd})(?:\P{Nd}{0,3}\p{Nd}){3}|(?<=[A-Z])[A-Z]\p{Nd}{2} ?[A-Z0-9]{4}"
+         rf"|(?<=[{_INITIALS}])(?:{_TAILS})\.? [\p{{L}}\p{{N}}])")
 
 
 class Mention:
@@ -66,7 +87,7 @@ class Mention:
         elif kind == "ip":
             self.entity = ".".join(str(int(x)) for x in written.split("."))
         else:
-            self.entity = re.sub(r"\D", "", written)
+            self.entity = "".join(str(unicodedata.decimal(c)) for c in written if c.isdecimal())
 
     def render(self, surrogate: str) -> str:
         """The surrogate in the format of this mention."""
@@ -75,9 +96,9 @@ class Mention:
         if self.kind == "email" or self.kind.startswith("name"):
             if self.written.isupper():
                 return surrogate.upper()
-            return surrogate if self.kind == "email" else "-".join(p[:1].upper() + p[1:] for p in surrogate.split("-"))
+            return surrogate if self.kind == "email" else "-".join(p[:1].title() + p[1:] for p in surrogate.split("-"))
         signs = iter(surrogate)
-        return "".join(next(signs) if c.isalnum() else c for c in self.written)
+        return "".join(_digit(c, next(signs)) if c.isalnum() else c for c in self.written)
 
 
 def mentions(text: str) -> list[Mention]:
@@ -112,7 +133,7 @@ def with_repeats(text: str, found: list[Mention]) -> list[Mention]:
         return found
     parts = "|".join(map(re.escape, sorted(kinds, key=len, reverse=True)))
     out, at = [], 0
-    for m in re.finditer(rf"(?<!\w)(?:{parts})(?!\w)", text, re.I):
+    for m in re.finditer(rf"(?<![\w{_MARKS}])(?:{parts})(?![\w{_MARKS}])", text, re.I):
         while at < len(found) and found[at].end <= m.start():
             out.append(found[at])
             at += 1
@@ -137,23 +158,71 @@ class Draw:
         return value % n
 
 
+def _digit(like: str, digit: str) -> str:
+    """A digit written in the digits of ``like``, if that is one."""
+    return chr(ord(like) - unicodedata.decimal(like) + int(digit)) if like.isdecimal() and digit.isdecimal() else digit
+
+
+def _script(letter: str) -> str:
+    return unicodedata.name(letter, "LATIN").split()[0]
+
+
+@cache
+def _alphabets() -> tuple[list[int], list[list[str]], dict[str, list[str]]]:
+    """Uncased and lower-case letters outside Latin: first code points, letters of each alphabet, the largest of each script."""
+    runs: list[list[str]] = []
+    last, before = 0, ""
+    for o in range(0x250, sys.maxunicode + 1):
+        c = chr(o)
+        kind = unicodedata.category(c)
+        if kind == "Lu":
+            before = ""
+        elif kind in ("Ll", "Lo") and (script := _script(c)) != "LATIN":
+            if before != kind + script or o - last > GAP:
+                runs.append([])
+            runs[-1].append(c)
+            last, before = o, kind + script
+    most: dict[str, list[str]] = {}
+    for run in runs:
+        script = _script(run[0])
+        most[script] = max(most.get(script, []), run, key=len)
+    return [ord(run[0]) for run in runs], runs, most
+
+
 @cache
-def _alphabet(letter: str) -> tuple[str, int]:
-    for first, count in ALPHABETS:
-        if ord(first) <= ord(letter) < ord(first) + count:
-            return first, count
-    return ("a", 26) if letter.isascii() else (letter, 1) if ord(letter) > 0x24F else ("a", 26)
+def _alphabet(letter: str) -> list[str]:
+    """Letters that may stand for a lower-case or uncased one: those around it in its script, a to z for Latin."""
+    if ord(letter) > 0x24F and (script := _script(letter)) != "LATIN":
+        firsts, runs, most = _alphabets()
+        run = runs[max(bisect_right(firsts, ord(letter)) - 1, 0)]
+        if len(run) < 2 or letter not in _members(run[0]):
+            run = most.get(script, [])
+        if len(run) > 1:
+            return run
+    return LATIN
+
+
+@cache
+def _members(first: str) -> frozenset[str]:
+    firsts, runs, _ = _alphabets()
+    return frozenset(runs[bisect_right(firsts, ord(first)) - 1])
+
+
+LATIN = [chr(o) for o in range(ord("a"), ord("z") + 1)]
 
 
 def _like(text: str, draw: Draw) -> str:
-    """Digits for digits and letters for letters of the same script; other signs stay."""
+    """Digits for digits and other letters for letters of the same script; other signs stay."""
     out = []
     for c in text:
-        if c.isdigit():
-            out.append(str(draw.below(10)))
-        elif c.isalpha():
-            first, count = _alphabet(c.lower())
-            letter = chr(ord(first) + draw.below(count))
+        if c.isdecimal():
+            out.append(_digit(c, str(draw.below(10))))
+        elif c.isalpha() and unicodedata.category(c) != "Lm":
+            lower = c.lower()[0]
+            letters = _alphabet(lower)
+            letter = letters[draw.below(len(letters))]
+            while letter == lower:
+                letter = letters[draw.below(len(letters))]
             out.append(letter.upper() if c.isupper() else letter)
         else:
             out.append(c)
@@ -179,8 +248,9 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     if kind == "iban":
         return entity[:2] + _like(entity[2:], draw)
     if kind.startswith("name"):
-        if any(ord(c) > 0x24F for c in entity):
-            return _like(entity, draw) + "".join(_like(entity[-1], draw) for _ in range(attempt))
+        foreign = [c for c in entity if ord(c) > 0x24F and c.isalpha() and _script(c) != "LATIN"]
+        if foreign:  # more letters when those of the same length are taken
+            return _like(entity, draw) + "".join(_like(foreign[-1], draw) for _ in range(attempt // 4))
         if kind == "name_last":
             return "".join(SYLLABLES[draw.below(len(SYLLABLES))] for _ in range(3 + attempt // 2)) + "nrlst"[draw.below(5)]
         given = GIVEN[kind[-1]]

@@ -158,6 +158,26 @@ def test_names_without_title_follow(spark):
     assert got[2] == f"Mr. {a} {poe} saw A Plan of {poe}'s and {poe}-like Mr. {poe}'s."
 
 
+def test_surrogates_of_all_scripts(spark):
+    names = ["王小明", "김철수", "さくら", "カタカナ", "अमित", "สมชาย", "გიორგი", "محمد", "كريم", "דוד", "Иван", "Ωνάσης", "Nguyễn", "Արամ", "ক"]
+    texts = [f"Mr. {n} came" for n in names] + [
+        "call ٠٥٥ ١٢٣ ٤٥٦٧ now", "call 055 123 4567 now", "MT84 MALT ABCD is all", "x\u0301Mr. ²Q", "Frau ǅx", "a@b.cd", "+1234567", "(12) 345 67"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    quick = {r["doc_id"]: r["q"] for r in docs.select("doc_id", F.rlike("text", F.lit(pii.QUICK)).alias("q")).collect()}
+    assert all(quick[i] for i, t in enumerate(texts) if pii.mentions(t)) and sum(bool(pii.mentions(t)) for t in texts) >= len(texts) - 1
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymized(docs, "k", ["doc_id"]).collect()}
+    for i, name in enumerate(names):
+        assert [m.written for m in pii.mentions(texts[i])] == [name]
+        new = got[i][len("Mr. "):-len(" came")]
+        if name != "Nguyễn":
+            assert len(new) == len(name) and {pii._script(c) for c in new if c.isalpha()} == {pii._script(c) for c in name if c.isalpha()}
+            assert not any(a == b for a, b in zip(new.lower(), name.lower()) if a.isalpha())
+        assert new[0].isupper() == name[0].isupper() and name not in got[i]
+    arabic, ascii_ = (re.sub(r"\D", "", got[len(names) + i]) for i in (0, 1))
+    assert ascii_ != "0551234567" and int(arabic) == int(ascii_) and min(arabic) >= "٠" and ascii_.isascii()
+    assert len({pii._like("ب", pii.Draw(b"k", "x", str(i), 0)) for i in range(400)}) > 25
+
+
 def test_surrogates_do_not_collide(spark):
     known = spark.range(150).select(F.lit("name_f").alias("kind"), F.concat(F.lit("n"), "id").alias("entity")).union(
         spark.createDataFrame([("name_m", g.lower()) for g in pii.GIVEN["m"]], "kind string, entity string"))
