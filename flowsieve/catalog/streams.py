@@ -63,11 +63,11 @@ def stream_windows(spark, sf_dir):
 
 
 def _scorer(spark, sf_dir):
-    """A forest that knows which flows had an alert, and the scaler it was trained with."""
+    """Boosted trees that know which flows had an alert, and the scaler they were trained with."""
     flows = flow_rows(spark, sf_dir).withColumn("h_alert", F.col("alert_signature"))
     label = F.when(F.col("h_alert").isNotNull(), "Suspicious activity").otherwise("Routine traffic")
     features, params = robust_scale(stage(feature_matrix(flows, keep=["flow_id", "h_alert"]), "features"))
-    model = fit(features.withColumn("target_label", label), Settings(iterations=5, depth=4), method="forest")
+    model = fit(features.withColumn("target_label", label), Settings())
     return model, params
 
 

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsieve.operators.metrics import classification_report, confusion_wide, report_dict
 from flowsieve.operators.split import class_weights, train_test
-from flowsieve.runtime import stage
+from flowsieve.runtime import stage, use_checkpoints
 from flowsieve.schema import DOTTED_NAME, FEATURES, Settings
 
 PREDICTION = "predicted_label"
+#: Rounds of boosting after which their lineage is cut by a checkpoint.
+CHECKPOINT_EVERY = 10
 
 
 def fit(train: DataFrame, settings: Settings = Settings(), label: str = "target_label",
@@ -70,10 +72,12 @@ def _boosted(rows: DataFrame, settings: Settings, i: int):
 
     Rounds are deterministic, so the second fit repeats the first up to the round kept.
     """
+    use_checkpoints(rows.sparkSession)
+
     def fit_rounds(n: int):
         return GBTClassifier(
             featuresCol="_features", labelCol="_is_class", weightCol="weight", predictionCol=f"_hit{i}", maxIter=n,
-            stepSize=settings.learning_rate, maxDepth=settings.depth, seed=settings.seed,
+            stepSize=settings.learning_rate, maxDepth=settings.depth, seed=settings.seed, checkpointInterval=CHECKPOINT_EVERY,
         ).setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_p{i}").fit(rows.filter("not _validate"))
 
     model, check = fit_rounds(settings.iterations), rows.filter("_validate")

@@ -13,7 +13,7 @@ _LOCAL_DIRS: dict[str, str] = {}
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a temporary one only on local masters."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(sc.applicationId) or sc.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not sc.master.startswith("local"):
@@ -23,6 +23,13 @@ def work_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[sc.applicationId]
 
 
+def use_checkpoints(spark: SparkSession) -> None:
+    """Have RDD checkpoints written to the working folder, unless the session names another one."""
+    folder = work_dir(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below one folder per application, which can be dropped when it has ended."""
     app = spark.sparkContext.applicationId

@@ -1,5 +1,8 @@
 """Whole runs: labeling, training, evaluation, scoring, sanity, tables on disk, streaming."""
 
+import importlib
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +13,8 @@ from flowsieve.plans.extraction import extract_log
 from flowsieve.plans.evaluation import attack_report, evaluate_attacks, relink, truth_is_one_sided
 from flowsieve.plans.sanity import cluster_summary, preview, profile, sample_labels, shape
 from flowsieve.plans.scoring import score_batch
-from flowsieve.plans.training import PREDICTION, best_round, feature_importance, fit, predict, train_and_measure
+from flowsieve.plans.training import CHECKPOINT_EVERY, PREDICTION, best_round, feature_importance, fit, predict, train_and_measure
+from flowsieve.runtime import discard, stage
 from flowsieve.schema import FEATURES, FLAT_COLUMNS, LABELS, LABEL_DNS, LEGACY_DEFAULT_LABEL, LEGACY_LABELS, Settings
 from flowsieve.sources import tables
 from flowsieve.sources.events import read_events
@@ -180,3 +184,30 @@ def test_stream_equals_batch(spark, run, tmp_path):
     assert got == want and len(got) > 50
     assert streamed.filter(~F.col("message").startswith("[Active attack] detected from 10.0.")).count() == 0
     assert set(columns) <= set(streamed.columns)
+
+
+@pytest.mark.parametrize("module,name", [("models", "train_predict"), ("models", "importances"), ("streams", "stream_score"), ("streams", "batch_score")])
+def test_registered_training_is_whole(spark, monkeypatch, module, name):
+    class Called(Exception):
+        pass
+
+    def recorded(*args, **options):
+        raise Called(inspect.signature(fit).bind(*args, **options))
+
+    catalog = importlib.import_module(f"flowsieve.catalog.{module}")
+    monkeypatch.setattr(catalog, "fit", recorded)
+    with pytest.raises(Called) as call:
+        getattr(catalog, name)(spark, SF)
+    bound = call.value.args[0]
+    bound.apply_defaults()
+    assert bound.arguments["settings"] == Settings() and bound.arguments["method"] == "boosted"
+    assert (Settings().iterations, Settings().depth, Settings().patience) == (500, 6, 50)
+
+
+def test_boosting_uses_checkpoints(spark):
+    rows = spark.range(80).select(F.col("id").cast("string").alias("flow_id"), (F.col("id") % 7).cast("double").alias("x"),
+                                  F.when(F.col("id") % 7 > 3, "a").otherwise("b").alias("target_label"))
+    model = fit(rows, Settings(iterations=2, depth=2), features=["x"])
+    assert spark.sparkContext.getCheckpointDir()
+    assert all(m.getCheckpointInterval() == CHECKPOINT_EVERY for m in model.stages if hasattr(m, "featureImportances"))
+    discard(stage(rows))
