@@ -140,4 +140,4 @@ def op3_surrogates(spark, sf_dir):
 def op6_near_duplicates(spark, sf_dir):
     """Near-duplicate class of every document, named by its smallest doc_id."""
     found = near_classes(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", (F.col("place") == F.col("class_place")).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", (F.col("place") == F.col("class_place")).alias("kept"))

@@ -150,3 +150,12 @@ def test_near_edges(edge_docs, no_docs):
     assert [r["doc_id"] for r in rows if r["text"] and r["text"].startswith("alpha")] == [4]
     assert len(rows) == 8  # three copies became one, texts without words stay
     assert near.dedup(no_docs).count() == 0
+
+
+def test_classes_name_no_link_counts(spark):
+    """Members of one class are not all compared, so no number of links is given."""
+    text = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(i, text + f" x{i}") for i in range(5)], "doc_id int, text string")
+    found = near.near_classes(docs)
+    assert found.columns == ["id", "place", "key", "class_id", "class_place"]
+    assert [r["class_id"] for r in found.collect()] == [0] * 5
