@@ -8,7 +8,8 @@ distributed: the gradient and the Hessian of a step are grouped sums over the do
 
 Rates become whole copies: the floor of the rate for every document, and one copy more for
 documents in hash order while the source's remaining target lasts. So a source ends within
-one document of its target, and the choice depends on the rows only, not on partitioning.
+one document of its target, and the choice depends on the rows only, not on partitioning. A mix then goes on behind
+the document that did not fit, with those that do, until none does.
 """
 
 from __future__ import annotations
@@ -81,13 +82,14 @@ def _skey(source: str = "source") -> Column:
 
 
 def mixed(docs: DataFrame, columns: list[str], weights: list[int] = WEIGHTS, share: float = SHARE,
-          limit: int = LIMIT) -> DataFrame:
+          limit: int = LIMIT, fill: bool = False) -> DataFrame:
     """Each row of (doc_id, text, source) as (row, size, source_size, target, copies); ``row`` holds ``columns``.
 
     Null text has size 0; null is a source of its own. Rows of a source are taken in the order
     of a digest of doc_id; rows that share it follow in the order they were read, which is the
     same for every run over the same files. A document without words is taken once. An empty
-    table gives an empty one.
+    table gives an empty one. With ``fill`` the rows behind the first that does not fit are taken too, in the same order, as
+    far as they fit what is left.
     """
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = stage(docs.select(
@@ -103,6 +105,9 @@ def mixed(docs: DataFrame, columns: list[str], weights: list[int] = WEIGHTS, sha
     order = ["_order", "_place"]
     cuts = weighted_cuts(rows.select("skey", *order, "size"), plan, "skey", {"_order": 60, "_place": PLACE_BITS}, "size")
     more = (F.col("size") > 0) & (F.col("left").isNull() | below_cut(order))
+    if fill:
+        rows = rows.join(_filling(rows.select("skey", *order, "size"), cuts, order), "_place", "left")
+        more = more | F.col("_fills").isNotNull()
     return (
         rows.join(plan.select("skey", "source_size", "target", "whole"), "skey").join(cuts, "skey", "left")
         .select("row", "size", "source_size", "target",
@@ -110,7 +115,25 @@ def mixed(docs: DataFrame, columns: list[str], weights: list[int] = WEIGHTS, sha
     )
 
 
+def _filling(rows: DataFrame, cuts: DataFrame, order: list[str]) -> DataFrame:
+    """(_place, _fills) of the rows behind the cut that fit what is left, each turn cut again among the rows that still do.
+
+    The row at a cut is larger than what is left behind it, so the open rows get fewer and smaller in each turn.
+    """
+    slim = ["skey", *order, "size"]
+    behind = ~below_cut(order) & (F.col("size") > 0) & (F.col("size") <= F.col("left"))
+    open_, found = stage(rows.join(cuts, "skey").filter(behind).select(*slim, "left"), "mix_open"), None
+    while found is None or not open_.isEmpty():
+        quotas = open_.groupBy("skey").agg(F.first("left").alias("quota"))
+        again = weighted_cuts(open_.select(*slim), quotas, "skey", {"_order": 60, "_place": PLACE_BITS}, "size")
+        met = open_.drop("left").join(again, "skey", "left")
+        fits = met.filter(F.col("left").isNull() | below_cut(order)).select("_place", F.lit(True).alias("_fills"))
+        found = fits if found is None else found.unionByName(fits)
+        open_ = stage(met.filter(F.col("left").isNotNull() & behind).select(*slim, "left"), "mix_open")
+    return stage(found, "mix_filling")
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` mixed: every row as often as the mix takes it; columns as they were."""
-    found = mixed(docs, docs.columns, **options).filter("copies > 0")
+    found = mixed(docs, docs.columns, **({"fill": True} | options)).filter("copies > 0")
     return found.withColumn("time", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("row.*")

@@ -2,6 +2,8 @@
 
 import random
 import re
+from collections import Counter
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +76,24 @@ def test_mix_meets_targets(spark):
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, mixed(docs.repartition(7), ["doc_id"]).collect()))
 
 
+def test_mix_goes_on_behind_a_long_document(spark):
+    ids = sorted(range(300), key=lambda i: md5(str(i).encode()).hexdigest())
+    size = {i: 1 + i % 20 for i in ids} | {ids[0]: 9000, ids[100]: 700}
+    docs = spark.createDataFrame([(i, "w " * n, "s2") for i, n in size.items()] + [(1000 + i, "w " * 50, f"s{i % 2}") for i in range(1800)],
+                                 "doc_id int, text string, source string")
+    first = mixed(docs, ["doc_id"], share=0.25).select("row.doc_id", "size", "target", "copies").collect()
+    target = next(r["target"] for r in first if r["doc_id"] in size)
+    assert target < sum(size.values()) and not any(r["copies"] for r in first if r["doc_id"] in size)
+    taken = Counter(r["doc_id"] for r in mix(docs, share=0.25).collect())
+    left, want = target, set()
+    for i in ids:
+        if size[i] <= left:
+            want.add(i)
+            left -= size[i]
+    assert {i for i in taken if i in size} == want and all(taken[i] == 1 for i in want)
+    assert 0 < len(want) < len(ids) and left < 20
+
+
 def test_shards_are_even(spark):
     rng = random.Random(9)
     docs = spark.createDataFrame([(i, "x" * rng.choice([0, 10, 300]), "hot" if i % 3 else f"s{i % 11}") for i in range(600)],
