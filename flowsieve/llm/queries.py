@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from flowsieve.llm.decontaminate import contamination
 from flowsieve.llm import langid, lm
@@ -12,6 +12,7 @@ from flowsieve.llm.mixing import mixed
 from flowsieve.llm.near import near_classes
 from flowsieve.llm.pii import pseudonymized
 from flowsieve.llm.registry import query, table
+from flowsieve.llm.runs import longest_run, periodic_runs
 from flowsieve.llm.secrets import addressed, findings_by_row, scan
 from flowsieve.llm.sharding import sharded
 
@@ -141,3 +142,58 @@ def op6_near_duplicates(spark, sf_dir):
     """Near-duplicate class of every document, named by its smallest doc_id."""
     found = near_classes(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", (F.col("place") == F.col("class_place")).alias("kept"))
+
+
+def _crc_sql(number: str) -> str:
+    """Unsigned CRC-32 of a number's decimal digits, bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(cast({number} as varchar), ''),
+ lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+ lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, 3988292384 * (a & 1)) end))"""
+
+
+def _planted(text: Column, doc_id: Column) -> Column:
+    """The text in which, for one id in ten, the words from a place on repeat the first few of them.
+
+    Without lambdas, since Spark does not hand a Python function an input that holds one.
+    """
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+    inner = F.btrim(text, F.lit("\t\n\x0b\x0c\r "))
+    words = F.split(inner, r"[\x20\x09-\x0D]+")
+    n = F.size(words).cast("bigint")
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    repeated = F.slice(F.concat(F.slice(words, F.lit(1), a), again), F.lit(1), n.cast("int"))
+    return F.when((h % 10 == 0) & (inner != ""), F.array_join(repeated, " ")).otherwise(text)
+
+
+@query(rf"""with d as (select row_number() over () as rid, doc_id, {_crc_sql("doc_id")} as h,
+ regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+q as (select rid, doc_id, w, len(w) as n, h, (h // 10) % greatest(len(w), 1) as a, h // 10 as g from d),
+t as (select rid, doc_id, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i: w[1 + case when i < a then i else
+ a + (i - a) % (1 + (n - a) // (3 + g % 8)) end]) else w end as w from q),
+e as (select rid, unnest(w) as word, unnest(range(len(w))) as i from t),
+pair as (select a.rid, a.i, b.i - a.i as p from e a join e b on a.rid = b.rid and a.word = b.word and a.i < b.i),
+island as (select rid, p, i - row_number() over (partition by rid, p order by i) as o, i from pair),
+stretch as (select rid, p, min(i) as s, count(*) + p as l from island group by rid, p, o),
+run as (select rid, s, l, min(p) as p from stretch where l >= greatest(12, 2 * p) group by rid, s, l),
+best as (select *, row_number() over (partition by rid order by l desc, s, p) as place from run),
+gone as (select distinct rid, unnest(range(s + p, s + l)) as i from run),
+kept as (select rid, string_agg(word, ' ' order by i) as words from e anti join gone using (rid, i) group by rid),
+told as (select rid, count(*) as n_runs, string_agg(s || ',' || l || ',' || p || chr(10), '' order by s, p) as runs from run group by rid)
+select doc_id, cast(coalesce(n_runs, 0) as bigint) as n_runs, cast(s as bigint) as start, cast(l as bigint) as length, cast(p as bigint) as period,
+cast(1000 * l // p as bigint) as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(words, '')) as collapsed_sha256
+from t left join told using (rid) left join kept using (rid) left join (from best where place = 1) using (rid)""")
+def op11_runs(spark, sf_dir):
+    """Periodic runs of words in every document, and the document without what they repeat."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", periodic_runs(_planted(F.col("text"), F.col("doc_id"))).alias("found"))
+    lines = F.transform("found.runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    found = docs.select("doc_id", F.size("found.runs").cast("bigint").alias("n_runs"), longest_run(F.col("found.runs")).alias("best"),
+                        F.concat(F.array_join(lines, "\n"), F.when(F.size(lines) > 0, "\n").otherwise("")).alias("lines"),
+                        F.col("found.collapsed").alias("collapsed"))
+    return found.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
