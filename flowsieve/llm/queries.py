@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+import public_tokenizers
+
+from flowsieve.llm.bpe import Tokenizer, encoded
 from flowsieve.llm.decontaminate import contamination
 from flowsieve.llm import langid, lm
 from flowsieve.llm.exact import exact_groups
@@ -197,3 +200,13 @@ def op11_runs(spark, sf_dir):
         "doc_id", "n_runs", "best.start", "best.length", "best.period",
         F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
         F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query()
+def op12_bpe(spark, sf_dir):
+    """Tokens of every document, and the text decoded from them."""
+    tokenizer = Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    found = encoded(table(spark, sf_dir, "documents"), tokenizer)
+    found = found.select(F.col("row.doc_id"), "ids", tokenizer.decode(F.col("ids"), F.col("ends")).alias("decoded"))
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

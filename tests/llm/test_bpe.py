@@ -1,0 +1,109 @@
+"""Byte-level BPE against the tiktoken library."""
+
+import hashlib
+import random
+import unicodedata
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from flowsieve.llm import bpe, registry
+import flowsieve.llm.queries  # noqa: F401
+
+PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    with open(PATH, "rb") as file:
+        return bpe.Vocabulary(file.read())
+
+
+@pytest.fixture(scope="module")
+def library(vocabulary):
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
+
+
+def random_texts(seed, n):
+    rng = random.Random(seed)
+    parts = ["'", "s", "t", "r", "e", "v", "l", "m", "d", "S", " ", "  ", "\n", "\t", "\xa0", "　", "a", "é", "1", "²", "٣",
+             "!", "-", "中", "́", "😀", "\x00", "\x1c", "\x85", "'ll", "'ve", "don't", "Ⅷ", "​", "<|endoftext|>"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("batch", [bpe.BATCH_POINTS, 50])
+def test_tokens_equal_library(monkeypatch, vocabulary, library, batch):
+    monkeypatch.setattr(bpe, "BATCH_POINTS", batch)
+    texts = random_texts(4, 4000) + ["", "a" * 5000, " " * 3000, "ab" * 3000 + "!", "\x00\x00", None]
+    for text, found in zip(texts, bpe._encode(vocabulary, pa.array(texts, pa.string())).to_pylist()):
+        assert np.frombuffer(found["ids"], "<u4").tolist() == library.encode_ordinary(text or "")
+        assert bpe._decode(vocabulary, found["ids"], found["ends"]) == (text or "").encode()
+
+
+def test_classes_equal_library():
+    """A vocabulary of bytes and of pairs with a letter, a digit and a mark shows what the library joins."""
+    ranks = {bytes([b]): b for b in range(256)}
+    for first in b"a1!":
+        ranks |= {bytes([first, b]): len(ranks) + b for b in range(256)}
+    probe = tiktoken.Encoding("probe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    kinds = bpe.classes()
+    for c in range(0x110000):
+        if 0xD800 <= c < 0xE000 or (c % 7 and unicodedata.category(chr(c)) in ("Cn", "Co") and c > 0x20000):
+            continue
+        joins = [probe.encode_ordinary(first + chr(c))[0] >= 256 for first in "a1!"]
+        want = bpe.LETTER if joins[0] else bpe.NUMBER if joins[1] else bpe.SYMBOL if joins[2] else bpe.GAP
+        assert kinds[c] == want, hex(c)
+
+
+def test_scan_equals_walking():
+    rng = np.random.default_rng(8)
+    points = rng.choice([0x20, 0x0A, 0x27, 0x61, 0x73, 0x31, 0x21, 0x00], 5000).astype(np.uint32)
+    border = rng.random(5000) < 0.01
+    kind, state, want = bpe._settled(points, border), bpe.FRESH, []
+    for k in kind:
+        want.append(bpe.BEGINS[k, state])
+        state = bpe.AFTER[k, state]
+    assert bpe.piece_starts(points, border).tolist() == want
+
+
+def test_products_are_compositions():
+    for f in range(len(bpe.FUNCTIONS)):
+        for g in range(len(bpe.FUNCTIONS)):
+            assert (bpe.FUNCTIONS[bpe.PRODUCT[f, g]] == bpe.FUNCTIONS[g][bpe.FUNCTIONS[f]]).all()
+
+
+def test_memory_of_pieces_is_bounded(monkeypatch, vocabulary):
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    known = bpe.Vocabulary(open(PATH, "rb").read())
+    assert [known.tokens(b"x%d" % i) for i in range(100)] == [vocabulary.tokens(b"x%d" % i) for i in range(100)]
+    assert len(known.remembered) <= 10
+
+
+def test_wrong_offsets_are_refused(vocabulary):
+    ids = vocabulary.tokens(b"hello there")
+    with pytest.raises(ValueError, match="offsets"):
+        bpe._decode(vocabulary, ids, np.arange(len(ids) // 4, dtype="<u8").tobytes())
+
+
+def test_edges(spark, edge_docs, no_docs):
+    tokenizer = bpe.Tokenizer(spark, PATH)
+    found = bpe.encoded(edge_docs, tokenizer)
+    back = found.select("row.*", tokenizer.decode(F.col("ids"), F.col("ends")).alias("decoded")).collect()
+    assert len(back) == edge_docs.count()
+    assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in back)
+    assert bpe.encoded(no_docs, tokenizer).count() == 0
+
+
+def test_query_equals_library(spark, library):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = registry.QUERIES["op12_bpe"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = np.array(library.encode_ordinary(texts[r["doc_id"]]), "<u4")
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
