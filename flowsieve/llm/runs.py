@@ -28,7 +28,7 @@ from pyspark.sql import Column, functions as F
 LEAST = 12
 MODULUS, COVER = 13, (0, 1, 3, 9)  # every difference modulo 13 occurs between two members
 #: Words and grid points handled in one array; a longer text is an array of its own.
-BATCH_WORDS, BATCH_POINTS = 1 << 18, 1 << 21
+BATCH_WORDS, BATCH_POINTS = 1 << 17, 1 << 19
 
 RUN = "struct<start: bigint, length: bigint, period: bigint>"
 FOUND = f"struct<n_words: bigint, runs: array<{RUN}>, collapsed: string>"
