@@ -19,15 +19,16 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-ENCODED = "struct<ids: binary, ends: binary>"
-#: Code points handled in one array; a longer text is an array of its own.
-BATCH_POINTS = 1 << 20
+#: Bytes handled in one array; a longer text is an array of its own.
+BATCH_BYTES = 1 << 19
 STRETCH = 64
 #: Pieces whose tokens are remembered; when full, the memory starts anew.
 REMEMBERED = 300_000
@@ -240,28 +241,33 @@ def _encode_group(vocabulary: Vocabulary, texts: list[bytes]) -> list[bytes]:
     return [b"".join(ids[a:b]) for a, b in zip(first.tolist(), last.tolist())]
 
 
-def _packed(parts: list[bytes]) -> pa.Array:
+def _parts(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of rows of up to ``most`` bytes; a larger row stands alone."""
+    first, total = 0, 0
+    for k, size in enumerate(sizes):
+        if k > first and total + size > most:
+            yield first, k
+            first, total = k, 0
+        total += size
+    if sizes:
+        yield first, len(sizes)
+
+
+def _packed(parts: list[bytes | None]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
 
-def _encode(vocabulary: Vocabulary, texts: pa.Array) -> pa.Array:
-    whole = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
-    ids: list[bytes] = []
-    first = 0
-    while first < len(whole):
-        last, size = first, 0
-        while last < len(whole) and (last == first or size + len(whole[last]) <= BATCH_POINTS):
-            size, last = size + len(whole[last]), last + 1
-        ids += _encode_group(vocabulary, whole[first:last])
-        first = last
-    ends = [np.cumsum(vocabulary.sizes[np.frombuffer(x, "<u4")]).astype("<u8").tobytes() for x in ids]
-    return pa.StructArray.from_arrays([_packed(ids), _packed(ends)], ["ids", "ends"])
+def _encode(vocabulary: Vocabulary, texts: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """``ids`` and ``ends`` of some texts."""
+    ids = _encode_group(vocabulary, texts)
+    ends = [np.cumsum(vocabulary.sizes[np.frombuffer(x, "<u4")]).astype("<u4").tobytes() for x in ids]
+    return _packed(ids), _packed(ends)
 
 
 def _decode(vocabulary: Vocabulary, ids: bytes, ends: bytes) -> bytes:
     """Every token's bytes at its place."""
     token = np.frombuffer(ids, "<u4").astype(np.int64)
-    upto = np.frombuffer(ends, "<u8").astype(np.int64)
+    upto = np.frombuffer(ends, "<u4").astype(np.int64)
     size = np.diff(upto, prepend=0)
     if len(token) != len(upto) or (size != vocabulary.sizes[token]).any():
         raise ValueError("offsets do not fit the tokens")
@@ -269,6 +275,11 @@ def _decode(vocabulary: Vocabulary, ids: bytes, ends: bytes) -> bytes:
     return vocabulary.blob[source].tobytes()
 
 
+def _rows(kind: str, docs: DataFrame) -> str:
+    """The schema of ``row`` and further columns."""
+    return f"row {docs.schema['row'].dataType.simpleString()}, {kind}"
+
+
 class Tokenizer:
     """A vocabulary file, read once by the driver and sent to each executor once (it does not grow with the data)."""
 
@@ -276,32 +287,39 @@ class Tokenizer:
         with open(path, "rb") as file:
             self.file = spark.sparkContext.broadcast(file.read())
 
-    def encode(self, text: Column) -> Column:
-        """``ids`` of a text's tokens, and ``ends``, where each ends in the text's UTF-8 bytes.
+    def encode(self, docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+        """``columns`` of each document in ``row``, ``ids`` of its tokens, and ``ends``: where each ends in its UTF-8 bytes.
 
-        Both are packed little-endian numbers, of four and eight bytes. A null or empty text has no tokens.
-        Special tokens are ordinary text. Each row is on its own, so repeated rows get the same result.
+        Both are packed little-endian numbers of four bytes. A null or empty text has no tokens; special tokens
+        are ordinary text. Every row is on its own, so repeated rows get equal results, and an empty table none.
+        Results leave a task in small batches, whatever the batches it gets.
         """
         file = self.file
 
-        def each(texts: pa.Array) -> pa.Array:
-            return _encode(_vocabulary(file.value), texts)
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary = _vocabulary(file.value)
+            for batch in batches:
+                texts = batch.column("text").cast(pa.binary())
+                for a, b in _parts(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BATCH_BYTES):
+                    found = _encode(vocabulary, [t or b"" for t in texts.slice(a, b - a).to_pylist()])
+                    yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), *found], ["row", "ids", "ends"])
 
-        return F.arrow_udf(each, ENCODED).asNondeterministic()(text)
+        rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.col(text_col).alias("text"))
+        return rows.mapInArrow(each, _rows("ids binary, ends binary", rows))
 
-    def decode(self, ids: Column, ends: Column) -> Column:
-        """The bytes that ``encode`` gave ``ids`` and ``ends`` for; null where either is null."""
+    def decode(self, tokens: DataFrame) -> DataFrame:
+        """``row``, ``ids`` and the bytes ``decoded`` that ``encode`` gave ``ids`` and ``ends`` for; null where either is null."""
         file = self.file
 
-        def each(ids: pa.Array, ends: pa.Array) -> pa.Array:
-            known = _vocabulary(file.value)
-            return _packed([None if a is None or b is None else _decode(known, a, b)
-                            for a, b in zip(ids.to_pylist(), ends.to_pylist())])
-
-        return F.arrow_udf(each, "binary").asNondeterministic()(ids, ends)
-
-
-def encoded(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> DataFrame:
-    """``docs`` in a column ``row``, with ``ids`` and ``ends`` of the text."""
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.withColumn("found", tokenizer.encode(F.col("row").getField(text_col))).select("row", "found.ids", "found.ends")
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary = _vocabulary(file.value)
+            for batch in batches:
+                sizes = pc.fill_null(pc.binary_length(batch.column("ids")), 0).to_pylist()
+                for a, b in _parts(sizes, BATCH_BYTES):
+                    part = batch.slice(a, b - a)
+                    decoded = [None if x is None or y is None else _decode(vocabulary, x, y)
+                               for x, y in zip(part.column("ids").to_pylist(), part.column("ends").to_pylist())]
+                    yield pa.RecordBatch.from_arrays([part.column("row"), part.column("ids"), _packed(decoded)], ["row", "ids", "decoded"])
+
+        rows = tokens.select("row", "ids", "ends")
+        return rows.mapInArrow(each, _rows("ids binary, decoded binary", rows))

@@ -6,10 +6,8 @@ import unicodedata
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 import pytest
 import tiktoken
-from pyspark.sql import functions as F
 
 from flowsieve.llm import bpe, registry
 import flowsieve.llm.queries  # noqa: F401
@@ -36,13 +34,16 @@ def random_texts(seed, n):
     return ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("batch", [bpe.BATCH_POINTS, 50])
-def test_tokens_equal_library(monkeypatch, vocabulary, library, batch):
-    monkeypatch.setattr(bpe, "BATCH_POINTS", batch)
-    texts = random_texts(4, 4000) + ["", "a" * 5000, " " * 3000, "ab" * 3000 + "!", "\x00\x00", None]
-    for text, found in zip(texts, bpe._encode(vocabulary, pa.array(texts, pa.string())).to_pylist()):
-        assert np.frombuffer(found["ids"], "<u4").tolist() == library.encode_ordinary(text or "")
-        assert bpe._decode(vocabulary, found["ids"], found["ends"]) == (text or "").encode()
+@pytest.mark.parametrize("most", [bpe.BATCH_BYTES, 50])
+def test_tokens_equal_library(vocabulary, library, most):
+    texts = random_texts(4, 4000) + ["", "a" * 5000, " " * 3000, "ab" * 3000 + "!", "\x00\x00"]
+    whole = [t.encode() for t in texts]
+    parts = list(bpe._parts([len(t) for t in whole], most))
+    assert [k for a, b in parts for k in range(a, b)] == list(range(len(texts)))
+    found = [x for a, b in parts for x in zip(*[c.to_pylist() for c in bpe._encode(vocabulary, whole[a:b])])]
+    for text, (ids, ends) in zip(texts, found, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+        assert bpe._decode(vocabulary, ids, ends) == text.encode()
 
 
 def test_classes_equal_library():
@@ -87,16 +88,17 @@ def test_memory_of_pieces_is_bounded(monkeypatch, vocabulary):
 def test_wrong_offsets_are_refused(vocabulary):
     ids = vocabulary.tokens(b"hello there")
     with pytest.raises(ValueError, match="offsets"):
-        bpe._decode(vocabulary, ids, np.arange(len(ids) // 4, dtype="<u8").tobytes())
+        bpe._decode(vocabulary, ids, np.arange(len(ids) // 4, dtype="<u4").tobytes())
 
 
 def test_edges(spark, edge_docs, no_docs):
     tokenizer = bpe.Tokenizer(spark, PATH)
-    found = bpe.encoded(edge_docs, tokenizer)
-    back = found.select("row.*", tokenizer.decode(F.col("ids"), F.col("ends")).alias("decoded")).collect()
+    back = tokenizer.decode(tokenizer.encode(edge_docs, edge_docs.columns)).select("row.*", "decoded").collect()
     assert len(back) == edge_docs.count()
     assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in back)
-    assert bpe.encoded(no_docs, tokenizer).count() == 0
+    assert tokenizer.decode(tokenizer.encode(no_docs, ["doc_id"])).count() == 0
+    nothing = tokenizer.encode(edge_docs, ["doc_id"]).selectExpr("row", "cast(null as binary) as ids", "ends")
+    assert tokenizer.decode(nothing).filter("decoded is null").count() == edge_docs.count()
 
 
 def test_query_equals_library(spark, library):
