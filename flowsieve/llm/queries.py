@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 import public_tokenizers
 
-from flowsieve.llm.bpe import Tokenizer, encoded
+from flowsieve.llm.bpe import Tokenizer
 from flowsieve.llm.decontaminate import contamination
-from flowsieve.llm import langid, lm
+from flowsieve.llm import langid, lm, trie
 from flowsieve.llm.exact import exact_groups
 from flowsieve.llm.html import main_text
 from flowsieve.llm.mixing import mixed
@@ -18,6 +18,8 @@ from flowsieve.llm.registry import query, table
 from flowsieve.llm.runs import longest_run, periodic_runs
 from flowsieve.llm.secrets import addressed, findings_by_row, scan
 from flowsieve.llm.sharding import sharded
+from flowsieve.operators.skew import lookup_join
+from flowsieve.runtime import stage
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -206,7 +208,45 @@ def op11_runs(spark, sf_dir):
 def op12_bpe(spark, sf_dir):
     """Tokens of every document, and the text decoded from them."""
     tokenizer = Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    found = encoded(table(spark, sf_dir, "documents"), tokenizer)
-    found = found.select(F.col("row.doc_id"), "ids", tokenizer.decode(F.col("ids"), F.col("ends")).alias("decoded"))
-    return found.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+    found = tokenizer.decode(tokenizer.encode(table(spark, sf_dir, "documents"), ["doc_id"]))
+    return found.select("row.doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def _rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every conversation with its first turns taken from the first one of its hundred: (turns, all conversations).
+
+    ``turns`` is (conv, pos, mark, size). At most five turns are taken, so a head is a short array.
+    """
+    h = (F.crc32(F.col("conv").cast("string")) % 6).cast("int")
+    convs = turns.select("conv").distinct().withColumn("base", F.col("conv") - F.col("conv") % 100)
+    heads = turns.filter("conv % 100 = 0 and pos < 5").groupBy("conv").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "mark", "size"))).alias("head")).withColumnRenamed("conv", "base")
+    convs = stage(lookup_join(convs, heads, ["base"]).withColumn("head", F.slice(F.coalesce("head", F.array()), F.lit(1), h)), "heads")
+    own = lookup_join(turns.filter(F.col("pos") >= h), convs.select("conv", (F.size("head") - h).alias("move")), ["conv"], "inner")
+    taken = convs.select("conv", F.explode("head").alias("t")).select("conv", "t.*")
+    return stage(own.withColumn("pos", F.col("pos") + F.col("move")).drop("move").unionByName(taken), "rebuilt"), convs
+
+
+@query(f"""with own as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) - 1 as pos,
+ coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 100 as base, {_crc_sql("conv_id")} % 6 as h, count(*) as n from own group by conv_id),
+r as (select c.conv_id, pos, role, text from c join own on own.conv_id = c.base and pos < h
+ union all select c.conv_id, pos - c.h + least(c.h, coalesce(b.n, 0)), role, text from c join own using (conv_id) left join c b on b.conv_id = c.base
+ where pos >= c.h),
+p as (select conv_id, pos + 1 as depth, length(text) as size, string_agg(length(role) || ':' || role || sha256(text), '') over (partition by conv_id order by pos) as k from r
+ union all select conv_id, 0, 0, '' from c),
+m as (select *, lag(k) over w as up, lead(k) over w is null as is_last from p window w as (partition by conv_id order by depth)),
+n as (select depth, k, min(conv_id) as conv_id, count(*) as n_convs, min(up) as up, any_value(size) as size,
+ string_agg(case when is_last then cast(conv_id as varchar) end, ',' order by conv_id) as ids from m group by depth, k),
+kids as (select up as k, depth - 1 as depth, count(*) as n_children from n where depth > 0 group by 1, 2),
+f as (select n.*, coalesce(n_children, 0) as n_children from n left join kids using (depth, k)),
+below as (select a.depth, a.k, sum(case when v.n_children = 0 then 1 else 0 end) as n_leaves, sum((v.n_convs - 1) * v.size) as saved
+ from f v join p on p.conv_id = v.conv_id and p.depth <= v.depth join f a on a.depth = p.depth and a.k = p.k group by 1, 2)
+select f.conv_id, cast(f.depth as bigint) as depth, u.conv_id as parent_conv_id, cast(f.n_convs as bigint) as n_convs, cast(f.n_children as bigint) as n_children,
+cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, sha256(coalesce(f.ids, '')) as ends_sha256
+from f join below using (depth, k) left join f u on u.depth = f.depth - 1 and u.k = f.up""")
+def op13_trie(spark, sf_dir):
+    """Prefix trie of the rebuilt conversations."""
+    turns = stage(trie.placed(trie.marked(table(spark, sf_dir, "conversations"))), "placed")
+    return trie.prefix_trie(*_rebuilt(turns))
