@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BATCH_BYTES = 1 << 19
 STRETCH = 64
 #: Pieces whose tokens are remembered; when full, the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 # Classes. SPACE and OTHER_SPACE are the last white space before something else; GAP is the rest of white space.
 LETTER, NUMBER, SYMBOL, GAP, SPACE, OTHER_SPACE, SHORT, LONG, BORDER = range(9)
@@ -287,9 +287,11 @@ class Tokenizer:
         with open(path, "rb") as file:
             self.file = spark.sparkContext.broadcast(file.read())
 
-    def encode(self, docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+    def encode(self, docs: DataFrame, columns: list[str], text_col: str = "text", decoded: bool = False) -> DataFrame:
         """``columns`` of each document in ``row``, ``ids`` of its tokens, and ``ends``: where each ends in its UTF-8 bytes.
 
+        With ``decoded``, also the bytes that decoding them gives, in the same pass.
+
         Both are packed little-endian numbers of four bytes. A null or empty text has no tokens; special tokens
         are ordinary text. Every row is on its own, so repeated rows get equal results, and an empty table none.
         Results leave a task in small batches, whatever the batches it gets.
@@ -301,11 +303,14 @@ class Tokenizer:
             for batch in batches:
                 texts = batch.column("text").cast(pa.binary())
                 for a, b in _parts(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BATCH_BYTES):
-                    found = _encode(vocabulary, [t or b"" for t in texts.slice(a, b - a).to_pylist()])
-                    yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), *found], ["row", "ids", "ends"])
+                    found = list(_encode(vocabulary, [t or b"" for t in texts.slice(a, b - a).to_pylist()]))
+                    if decoded:
+                        found.append(_packed([_decode(vocabulary, *x) for x in zip(*[c.to_pylist() for c in found])]))
+                    yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), *found], names)
 
+        names = ["row", "ids", "ends"] + ["decoded"] * decoded
         rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.col(text_col).alias("text"))
-        return rows.mapInArrow(each, _rows("ids binary, ends binary", rows))
+        return rows.mapInArrow(each, _rows(", ".join(f"{n} binary" for n in names[1:]), rows))
 
     def decode(self, tokens: DataFrame) -> DataFrame:
         """``row``, ``ids`` and the bytes ``decoded`` that ``encode`` gave ``ids`` and ``ends`` for; null where either is null."""

@@ -208,7 +208,7 @@ def op11_runs(spark, sf_dir):
 def op12_bpe(spark, sf_dir):
     """Tokens of every document, and the text decoded from them."""
     tokenizer = Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    found = tokenizer.decode(tokenizer.encode(table(spark, sf_dir, "documents"), ["doc_id"]))
+    found = tokenizer.encode(table(spark, sf_dir, "documents"), ["doc_id"], decoded=True)
     return found.select("row.doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -97,6 +97,8 @@ def test_edges(spark, edge_docs, no_docs):
     assert len(back) == edge_docs.count()
     assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in back)
     assert tokenizer.decode(tokenizer.encode(no_docs, ["doc_id"])).count() == 0
+    at_once = tokenizer.encode(edge_docs, ["text"], decoded=True).collect()
+    assert all(bytes(r["decoded"]) == (r["row"]["text"] or "").encode() for r in at_once)
     nothing = tokenizer.encode(edge_docs, ["doc_id"]).selectExpr("row", "cast(null as binary) as ids", "ends")
     assert tokenizer.decode(nothing).filter("decoded is null").count() == edge_docs.count()
 
