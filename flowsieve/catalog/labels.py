@@ -99,7 +99,7 @@ def label_propagation_legacy(spark, sf_dir):
         key="ord").select("ord", "target_label")
 
 
-def _quota_sql(source: str, label: str) -> str:
+def quota_sql(source: str, label: str) -> str:
     return f"""n as (select {label}, count(*) as n from {source} group by 1),
 t as (select cast(sum(n) as bigint) as total, cast(sum(n) as bigint) - cast(ceil(sum(n) * 0.2::double) as bigint) as train from n),
 s as (select {label}, n, n * train // total as whole, n * train % total as rest, train from n, t),
@@ -107,13 +107,13 @@ k as (select {label}, n - whole - case when row_number() over (order by rest des
   <= train - sum(whole) over () then 1 else 0 end as quota from s)"""
 
 
-@query(f"with {_quota_sql('documents', 'lang')} select lang, quota from k")
+@query(f"with {quota_sql('documents', 'lang')} select lang, quota from k")
 def test_quota(spark, sf_dir):
     """Held-out rows per class by largest remainder."""
     return split_quota(table(spark, sf_dir, "documents"), "lang", 0.2)
 
 
-@query(f"""with {_quota_sql('events', 'event_type')} select event_id, event_type,
+@query(f"""with {quota_sql('events', 'event_type')} select event_id, event_type,
 case when row_number() over (partition by event_type order by md5('42:' || event_id), event_id) <= quota then 'test' else 'train' end as split
 from events join k using (event_type)""")
 def stratified_split(spark, sf_dir):

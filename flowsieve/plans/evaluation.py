@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from flowsieve.functions.labels import suspicious
 from flowsieve.operators.metrics import classification_report, confusion_wide
 from flowsieve.operators.truth import tag_attacks
-from flowsieve.plans.training import PREDICTION, predict
-from flowsieve.schema import VALIDATION_COLUMNS, col_name
-from flowsieve.sources.groundtruth import require_columns
+from flowsieve.plans.training import PREDICTION, Model, predict
+from flowsieve.schema import VALIDATION_COLUMNS, col_name, require_columns
 
 
 def relink(labeled: DataFrame, flows: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -25,7 +23,7 @@ def relink(labeled: DataFrame, flows: DataFrame, keep: list[str] | None = None)
     return labeled.join(right, "flow_id", "left")
 
 
-def evaluate_attacks(validation: DataFrame, tuples: DataFrame, model: PipelineModel | None = None,
+def evaluate_attacks(validation: DataFrame, tuples: DataFrame, model: Model | None = None,
                      prediction: str = PREDICTION) -> DataFrame:
     """Add ``Actual_Is_Attack``, the prediction (unless already there), ``Predicted_Is_Attack``."""
     require_columns(validation, ["src_ip", "dest_ip", "dest_port"])

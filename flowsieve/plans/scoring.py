@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowsieve.functions.context import alert_message
 from flowsieve.functions.labels import suspicious
 from flowsieve.operators.collapse import collapse
 from flowsieve.operators.features import apply_scaler, feature_matrix
-from flowsieve.plans.training import predict
+from flowsieve.plans.training import Model, predict
 
 DIAGNOSIS = "diagnosis"
 
@@ -19,7 +18,7 @@ def is_threat(label: Column, benign_labels: list[str] | None = None) -> Column:
     return suspicious(label) if benign_labels is None else ~label.isin(benign_labels)
 
 
-def score_flows(flows: DataFrame, model: PipelineModel, params: dict, keep: list[str]) -> DataFrame:
+def score_flows(flows: DataFrame, model: Model, params: dict, keep: list[str]) -> DataFrame:
     """``keep`` columns and the diagnosis of every flow. Narrow: nothing is shuffled.
 
     The scaler is only applied, never fitted, so this also runs on a stream.
@@ -37,7 +36,7 @@ def alerts(scored: DataFrame, benign_labels: list[str] | None = None) -> DataFra
         "message", alert_message(F.col(DIAGNOSIS), F.col("src_ip"), F.col("dest_ip")))
 
 
-def score_batch(events: DataFrame, model: PipelineModel, params: dict,
+def score_batch(events: DataFrame, model: Model, params: dict,
                 benign_labels: list[str] | None = None) -> DataFrame:
     """Alert rows of one batch of events."""
     return alerts(

@@ -5,105 +5,73 @@ from __future__ import annotations
 import time
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler, VectorSlicer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from flowsieve.operators.boosting import BoostedTrees, boost
 from flowsieve.operators.metrics import classification_report, confusion_wide, report_dict
 from flowsieve.operators.split import class_weights, train_test
-from flowsieve.runtime import stage, use_checkpoints
-from flowsieve.schema import DOTTED_NAME, FEATURES, Settings
+from flowsieve.runtime import stage
+from flowsieve.schema import DOTTED_NAME, FEATURES, Settings, require_columns
 
 PREDICTION = "predicted_label"
-#: Rounds of boosting after which their lineage is cut by a checkpoint.
-CHECKPOINT_EVERY = 10
+Model = BoostedTrees | PipelineModel
 
 
 def fit(train: DataFrame, settings: Settings = Settings(), label: str = "target_label",
         key: str = "flow_id", features: list[str] = FEATURES, method: str = "boosted"
-        ) -> PipelineModel:
-    """Model stages from features to ``predicted_label``; apply them with ``predict``.
+        ) -> Model:
+    """A model from features to ``predicted_label``; apply it with ``predict``.
 
-    ``boosted`` is one boosted model per class against the rest, each stopping early on a
-    validation slice cut from the training rows; ``forest`` is one random forest for all
-    classes. Classes are weighted inversely to their size. Features are an allow-list, so no
-    id can leak in.
+    ``boosted`` adds trees for all classes together and stops on a validation slice cut from the
+    training rows (see ``operators.boosting``); ``forest`` is one random forest. Classes are weighted
+    inversely to their size; rows without a label are left out. Features are an allow-list, so no id can leak in.
     """
-    weights = class_weights(train, label)
-    if weights.count() < 2:
+    require_columns(train, [key, label, *features], "training")
+    weights = class_weights(train.filter(F.col(label).isNotNull()), label)
+    labels = sorted(r[0] for r in weights.select(label).collect())  # one row per class
+    if len(labels) < 2:
         raise ValueError("training needs at least two classes")
     rows = train_test(train.select(key, label, *features), key, label, 0.1, settings.seed + 1)
     rows = rows.join(F.broadcast(weights.select(label, "weight")), label)  # one row per class
-    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
-    assembler = VectorAssembler(inputCols=features, outputCol="_features")
-    ready = stage(
-        assembler.transform(indexer.transform(rows)).select(
-            "_features", "_label", "weight", (F.col("split") == "test").alias("_validate")),
-        "training")
-    back = IndexToString(inputCol="_predicted", outputCol=PREDICTION, labels=indexer.labels)
     if method == "forest":
-        forest = RandomForestClassifier(
-            featuresCol="_features", labelCol="_label", weightCol="weight", maxDepth=settings.depth,
-            seed=settings.seed, numTrees=settings.iterations, predictionCol="_predicted")
-        return PipelineModel([assembler, forest.fit(ready), back])
-
-    k = len(indexer.labels)
-    members = [_boosted(ready.withColumn("_is_class", (F.col("_label") == i).cast("double")), settings, i) for i in range(k)]
-    # Each class model gives (rest, class); every second entry is a class score.
-    both = VectorAssembler(inputCols=[f"_p{i}" for i in range(k)], outputCol="_both")
-    scores = VectorSlicer(inputCol="_both", outputCol="_scores", indices=[2 * i + 1 for i in range(k)])
-    return PipelineModel([assembler, *members, both, scores, back])
-
-
-def best_round(losses: list[float], patience: int) -> int:
-    """Number of rounds to keep: up to the lowest loss before ``patience`` rounds went by without a lower one."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
-
-
-def _boosted(rows: DataFrame, settings: Settings, i: int):
-    """Boosted trees for class ``i``: all rounds on the training rows, then as many as the validation rows ask for.
-
-    Rounds are deterministic, so the second fit repeats the first up to the round kept.
-    """
-    use_checkpoints(rows.sparkSession)
+        return _forest(rows, settings, label, features)
+    number = (F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(label)) - 1).cast("int")
+    ready = stage(rows.select(*features, number.alias("label"), F.col("weight").cast("double").alias("weight"),
+                              (F.col("split") == "test").alias("held")), "training")
+    return boost(ready, list(features), [str(v) for v in labels], settings.iterations, settings.depth, settings.learning_rate,
+                 settings.patience)
 
-    def fit_rounds(n: int):
-        return GBTClassifier(
-            featuresCol="_features", labelCol="_is_class", weightCol="weight", predictionCol=f"_hit{i}", maxIter=n,
-            stepSize=settings.learning_rate, maxDepth=settings.depth, seed=settings.seed, checkpointInterval=CHECKPOINT_EVERY,
-        ).setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_p{i}").fit(rows.filter("not _validate"))
 
-    model, check = fit_rounds(settings.iterations), rows.filter("_validate")
-    if check.isEmpty():
-        return model
-    keep = best_round(list(model.evaluateEachIteration(check)), settings.patience)
-    return model if keep == settings.iterations else fit_rounds(keep)
+def _forest(rows: DataFrame, settings: Settings, label: str, features: list[str]) -> PipelineModel:
+    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
+    assembler = VectorAssembler(inputCols=features, outputCol="_features")
+    ready = stage(assembler.transform(indexer.transform(rows)).select("_features", "_label", "weight"), "training")
+    back = IndexToString(inputCol="_predicted", outputCol=PREDICTION, labels=indexer.labels)
+    forest = RandomForestClassifier(
+        featuresCol="_features", labelCol="_label", weightCol="weight", maxDepth=settings.depth,
+        seed=settings.seed, numTrees=settings.iterations, predictionCol="_predicted")
+    return PipelineModel([assembler, forest.fit(ready), back])
 
 
-def predict(model: PipelineModel, rows: DataFrame, prediction: str = PREDICTION) -> DataFrame:
-    """All input columns plus the predicted label. Stays on the JVM, row by row."""
+def predict(model: Model, rows: DataFrame, prediction: str = PREDICTION) -> DataFrame:
+    """All input columns plus the predicted label. Narrow, so it also runs on a stream."""
+    if isinstance(model, BoostedTrees):
+        return rows.withColumn(prediction, model.predict(*[F.col(f) for f in model.features]))
     out = rows
-    for step in model.stages[:-1]:
+    for step in model.stages:
         out = step.transform(out)
-    if "_scores" in out.columns:
-        scores = vector_to_array("_scores")
-        out = out.withColumn("_predicted", (F.array_position(scores, F.array_max(scores)) - 1).cast("double"))
-    out = model.stages[-1].transform(out)
     return out.select(*rows.columns, F.col(PREDICTION).alias(prediction))
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel, features: list[str] = FEATURES) -> DataFrame:
-    """(Feature, Importance), highest first; the mean over the per-class models."""
-    parts = [s for s in model.stages if hasattr(s, "featureImportances")]
-    mean = sum(m.featureImportances.toArray() for m in parts) / len(parts)
-    rows = [(DOTTED_NAME.get(f, f), float(v)) for f, v in zip(features, mean)]
+def feature_importance(spark: SparkSession, model: Model, features: list[str] = FEATURES) -> DataFrame:
+    """(Feature, Importance), highest first: shares of the gain of all splits, or of the forest's impurity."""
+    if isinstance(model, BoostedTrees):
+        features, values = model.features, model.importances()
+    else:
+        values = next(s for s in model.stages if hasattr(s, "featureImportances")).featureImportances.toArray()
+    rows = [(DOTTED_NAME.get(f, f), float(v)) for f, v in zip(features, values)]
     return spark.createDataFrame(rows, "Feature string, Importance double").orderBy(
         F.desc("Importance"), "Feature")
 
@@ -111,7 +79,7 @@ def feature_importance(spark: SparkSession, model: PipelineModel, features: list
 def train_and_measure(train: DataFrame, test: DataFrame, settings: Settings = Settings(),
                       features: list[str] = FEATURES, label: str = "target_label",
                       key: str = "flow_id", method: str = "boosted",
-                      model_file: str = "", importance_file: str = "") -> tuple[PipelineModel, dict]:
+                      model_file: str = "", importance_file: str = "") -> tuple[Model, dict]:
     """Fit, score the held-out rows, and collect the twelve metrics."""
     started = time.perf_counter()
     model = fit(train, settings, label, key, features, method)
@@ -126,7 +94,7 @@ def train_and_measure(train: DataFrame, test: DataFrame, settings: Settings = Se
     labels = [r[0] for r in test.select(label).distinct().orderBy(label).collect()]
     matrix = {r["actual"]: [r[v] for v in labels]
               for r in confusion_wide(scored, label, PREDICTION, labels).collect()}
-    metrics = {
+    metrics = {  # the twelve keys are fixed
         "dataset": settings.dataset,
         "train_rows": n_train,
         "test_rows": n_test,

@@ -231,3 +231,10 @@ class Settings:
     normal_event_type: str = "flow"
     alert_contains: str = "Heartbleed"
     attack_label: str = "Heartbleed"
+
+
+def require_columns(df, columns: list[str], purpose: str = "") -> None:
+    """Refuse a table that lacks a column, naming all that are missing and what they are for."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing required columns{purpose and ' for ' + purpose}: {missing}")

@@ -13,12 +13,6 @@ def find_column(columns: list[str], *needles: str) -> str | None:
     return next((c for c in columns if all(w in c.strip().lower() for w in wanted)), None)
 
 
-def require_columns(df: DataFrame, columns: list[str]) -> None:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing required columns: {missing}")
-
-
 def read_ground_truth(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
     """CSV with trimmed header names, all columns as text.
 

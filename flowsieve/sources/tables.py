@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from flowsieve.operators.boosting import BoostedTrees, Tree
 from flowsieve.schema import dotted
 
+MODEL_SCHEMA = "tree int, shared string, features array<int>, bins array<int>, leaf_values array<double>, gains array<double>"
+
 
 def table_path(out: str, dataset: str, table: str) -> str:
     return f"{out.rstrip('/')}/{table}/dataset={dataset}"
@@ -60,11 +64,31 @@ def read_metrics(spark: SparkSession, out: str, dataset: str) -> dict:
     return json.loads(spark.read.text(table_path(out, dataset, "metrics")).first()["value"])
 
 
-def save_model(model: PipelineModel, out: str, dataset: str) -> str:
+def save_model(model: BoostedTrees | PipelineModel, out: str, dataset: str, spark: SparkSession | None = None) -> str:
+    """A boosted model as a table with one row per tree and one for what they share; a pipeline in its own format."""
     path = table_path(out, dataset, "model")
-    model.write().overwrite().save(path)
+    if isinstance(model, BoostedTrees):
+        spark = spark or SparkSession.active()
+        shared = json.dumps({"features": model.features, "labels": model.labels, "borders": model.borders,
+                             "losses": model.losses, "rounds_trained": model.rounds_trained})
+        rows = [(-1, shared, [], [], [], [])] + [
+            (i, None, t.features, t.bins, t.values.ravel().tolist(), t.gains) for i, t in enumerate(model.trees)]
+        spark.createDataFrame(rows, MODEL_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+    else:
+        model.write().overwrite().save(path)
     return path
 
 
-def load_model(out: str, dataset: str) -> PipelineModel:
-    return PipelineModel.load(table_path(out, dataset, "model"))
+def load_model(out: str, dataset: str, spark: SparkSession | None = None) -> BoostedTrees | PipelineModel:
+    """The saved model. One row per tree reaches the driver, as many as training was allowed."""
+    path = table_path(out, dataset, "model")
+    spark = spark or SparkSession.active()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return PipelineModel.load(path)
+    shared, *trees = spark.read.schema(MODEL_SCHEMA).parquet(path).orderBy("tree").collect()
+    known = json.loads(shared["shared"])
+    classes = len(known["labels"])
+    return BoostedTrees(known["features"], known["labels"], known["borders"], [
+        Tree(t["features"], t["bins"], np.reshape(t["leaf_values"], (-1, classes)), t["gains"]) for t in trees],
+        known["losses"], known["rounds_trained"])

@@ -7,12 +7,12 @@ in each, as it would be in two consecutive batches.
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowsieve.functions.text import fallback_flow_id
 from flowsieve.plans.scoring import alerts, score_flows
+from flowsieve.plans.training import Model
 from flowsieve.sources.events import parse_events
 
 
@@ -58,7 +58,7 @@ def undated(events: DataFrame) -> DataFrame:
     return events.filter(F.col("ts").isNull())
 
 
-def score_stream(events: DataFrame, model: PipelineModel, params: dict,
+def score_stream(events: DataFrame, model: Model, params: dict,
                  benign_labels: list[str] | None = None, width: str = "5 minutes",
                  delay: str = "5 minutes") -> DataFrame:
     """Alert rows of a stream of events."""

@@ -19,7 +19,8 @@ from flowsieve.operators.split import can_stratify, class_weights, split_quota,
 from flowsieve.operators.truth import attack_rows, other_rows, tag_attacks
 from flowsieve.operators.tuning import rate_limit
 from flowsieve.schema import LABEL_DNS, LABEL_MALFORMED, LABEL_UNCLASSIFIED
-from flowsieve.sources.groundtruth import attack_tuples, find_column, read_ground_truth, require_columns
+from flowsieve.schema import require_columns
+from flowsieve.sources.groundtruth import attack_tuples, find_column, read_ground_truth
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])

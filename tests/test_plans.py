@@ -13,8 +13,7 @@ from flowsieve.plans.extraction import extract_log
 from flowsieve.plans.evaluation import attack_report, evaluate_attacks, relink, truth_is_one_sided
 from flowsieve.plans.sanity import cluster_summary, preview, profile, sample_labels, shape
 from flowsieve.plans.scoring import score_batch
-from flowsieve.plans.training import CHECKPOINT_EVERY, PREDICTION, best_round, feature_importance, fit, predict, train_and_measure
-from flowsieve.runtime import discard, stage
+from flowsieve.plans.training import PREDICTION, feature_importance, fit, predict, train_and_measure
 from flowsieve.schema import FEATURES, FLAT_COLUMNS, LABELS, LABEL_DNS, LEGACY_DEFAULT_LABEL, LEGACY_LABELS, Settings
 from flowsieve.sources import tables
 from flowsieve.sources.events import read_events
@@ -108,15 +107,7 @@ def test_early_stopping(run):
     noise = run.labeled.withColumn(
         "target_label", F.when(F.xxhash64("flow_id") % 2 == 0, "a").otherwise("b"))
     model = fit(noise, Settings(iterations=12, depth=2))
-    trees = [s.getNumTrees for s in model.stages if hasattr(s, "treeWeights")]
-    assert len(trees) == 2 and all(n <= 12 for n in trees)
-
-
-def test_best_round():
-    """A flat or worse round does not end training; patience does."""
-    assert best_round([5.0, 5.0, 4.0, 4.5, 3.0], 50) == 5
-    assert best_round([5.0, 4.0, 4.1, 4.2, 4.3, 1.0], 3) == 2
-    assert best_round([1.0], 50) == 1
+    assert len(model.trees) <= model.rounds_trained <= 12 and len(model.losses) == model.rounds_trained + 1
 
 
 def test_evaluation(spark, run, events):
@@ -202,12 +193,3 @@ def test_registered_training_is_whole(spark, monkeypatch, module, name):
     bound.apply_defaults()
     assert bound.arguments["settings"] == Settings() and bound.arguments["method"] == "boosted"
     assert (Settings().iterations, Settings().depth, Settings().patience) == (500, 6, 50)
-
-
-def test_boosting_uses_checkpoints(spark):
-    rows = spark.range(80).select(F.col("id").cast("string").alias("flow_id"), (F.col("id") % 7).cast("double").alias("x"),
-                                  F.when(F.col("id") % 7 > 3, "a").otherwise("b").alias("target_label"))
-    model = fit(rows, Settings(iterations=2, depth=2), features=["x"])
-    assert spark.sparkContext.getCheckpointDir()
-    assert all(m.getCheckpointInterval() == CHECKPOINT_EVERY for m in model.stages if hasattr(m, "featureImportances"))
-    discard(stage(rows))
