@@ -159,3 +159,55 @@ def test_classes_name_no_link_counts(spark):
     found = near.near_classes(docs)
     assert found.columns == ["id", "place", "key", "class_id", "class_place"]
     assert [r["class_id"] for r in found.collect()] == [0] * 5
+
+
+def roots(n, pairs):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in pairs:
+        parent[find(i)] = find(j)
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("weighted", [0, 4, 1])
+def test_block_links_join_what_all_pairs_join(weighted):
+    rng = np.random.default_rng(weighted)
+    base = rng.integers(-2 ** 60, 2 ** 60, 150)
+    items, weights = [np.empty(0, np.int64)], [None]
+    for i in range(120):
+        text = base.copy()
+        text[rng.choice(150, k := int(rng.integers(0, 45)), replace=False)] = rng.integers(-2 ** 60, 2 ** 60, k)
+        items.append(np.unique(text))
+        weights.append(rng.integers(1, 4, len(items[-1])).astype(np.int32) if weighted and i % weighted == 0 else None)
+    n = len(items)
+    whole = [near._weights(i, w) for i, w in zip(items, weights)]
+    mass = near.common_mass(items, weights)
+    similar = {(i, j): near.probability_jaccard(items[i], whole[i], items[j], whole[j]) for i in range(n) for j in range(i)}
+    for (i, j), s in similar.items():
+        assert mass[i, j] == pytest.approx(whole[i][np.isin(items[i], items[j])].sum() / max(1, whole[i].sum()), abs=1e-5)
+        assert s <= min(mass[i, j], mass[j, i]) + 1e-6
+    found = near.block_links(np.arange(n), items, weights)
+    assert all(similar[max(p), min(p)] >= near.SIMILAR for p in found) and len(found) < n
+    a, b = roots(n, found), roots(n, [p for p, s in similar.items() if s >= near.SIMILAR])
+    assert len(set(zip(a, b))) == len(set(a)) == len(set(b))
+
+
+def test_large_buckets_go_on_in_waves(spark, monkeypatch):
+    """Blocks too small for any bucket: waves of leaders find the same classes."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for _ in range(60):
+        t = base.copy()
+        for at in rng.sample(range(80), rng.randrange(4)):
+            t[at] = f"x{rng.randrange(10 ** 9)}"
+        texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    whole = sorted(map(tuple, near.near_classes(docs).select("id", "class_id").collect()))
+    monkeypatch.setattr(near, "BLOCK", 3)
+    assert sorted(map(tuple, near.near_classes(docs).select("id", "class_id").collect())) == whole
