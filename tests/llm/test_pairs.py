@@ -180,8 +180,8 @@ def test_block_links_join_what_all_pairs_join(weighted):
     base = rng.integers(-2 ** 60, 2 ** 60, 150)
     items, weights = [np.empty(0, np.int64)], [None]
     for i in range(120):
-        text = base.copy()
-        text[rng.choice(150, k := int(rng.integers(0, 45)), replace=False)] = rng.integers(-2 ** 60, 2 ** 60, k)
+        text, k = base.copy(), int(rng.integers(0, 45))
+        text[rng.choice(150, k, replace=False)] = rng.integers(-2 ** 60, 2 ** 60, k)
         items.append(np.unique(text))
         weights.append(rng.integers(1, 4, len(items[-1])).astype(np.int32) if weighted and i % weighted == 0 else None)
     n = len(items)
