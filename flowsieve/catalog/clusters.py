@@ -64,6 +64,27 @@ def density_embeddings(spark, sf_dir):
     return out.select("vec_id", "cluster_label", F.round("cluster_probability", 6).alias("cluster_probability"))
 
 
+_PLACED = "case when o_orderkey <= 3 then 1e9 * (1 + o_orderkey) else {center} + {width} * ({u} - floor({u})) end"
+
+
+def _at(axis: int) -> str:
+    """A coordinate of four planted groups: two dense ones near each other, two wide ones far off; three rows lie farther."""
+    pick = lambda values: f"case o_orderkey % 4 when 0 then {values[0]} when 1 then {values[1]} when 2 then {values[2]} else {values[3]} end"
+    center = pick([(0, 40, 0, 4000), (0, 0, 4000, 4000)][axis])
+    share = f"(o_orderkey * cast({[0.7548776662466927, 0.5698402909980532][axis]} as double))"
+    return _PLACED.format(center=center, width=pick((2, 2, 500, 500)), u=share)
+
+
+@query(f"""with p as (select o_orderkey, case when o_orderkey <= 3 then null else o_orderkey % 4 end as g from orders),
+n as (select g, row_number() over (order by min(o_orderkey)) - 1 as label from p where g is not null group by g)
+select o_orderkey, cast(coalesce(label, -1) as int) as cluster_label from p left join n using (g)""")
+def density_levels(spark, sf_dir):
+    """Groups of unlike density among orders placed by their key, without a radius; three far rows are noise."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.expr(f"cast({_at(0)} as double)").alias("x"), F.expr(f"cast({_at(1)} as double)").alias("y"))
+    return density_cluster(orders, "o_orderkey", ["x", "y"]).select("o_orderkey", "cluster_label")
+
+
 #: Steps the oracle of ``components`` takes; the graph's diameter is smaller.
 _HOPS = 10
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from flowsieve.functions.labels import is_json_object, is_json_value
@@ -24,28 +26,55 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def with_positions(lines: DataFrame) -> DataFrame:
+def count_blocks(lines: DataFrame) -> DataFrame:
+    """Lines, usable events and first row id of every input block: one row per block, a millionth of the bytes read."""
+    return lines.groupBy("file", "block").agg(
+        F.count("*").alias("n"), F.min("row").alias("first_row"),
+        F.count_if(is_json_object(F.col("value"))).alias("n_events"))
+
+
+def block_index(spark: SparkSession, path: str | list[str], folder: str) -> DataFrame:
+    """``count_blocks`` of a log from a table kept in ``folder``, counted only if the log is not there as it is now.
+
+    A log is known by its files with length and time of change, and by the settings that decide how files
+    are cut and packed, since row ids follow from them. A changed, added or removed file means another count; tables
+    of earlier states stay until they are dropped.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    files = spark.read.format("binaryFile").load(paths).select("path", "length", F.col("modificationTime").cast("double").alias("time"))
+    marks = [F.xxhash64(F.lit(i), "path", "length", "time").cast("decimal(38,0)") for i in range(2)]
+    state = files.agg(F.count("*"), *[F.sum(m) for m in marks]).first()
+    settings = [str(spark.conf.get(f"spark.sql.files.{k}", None)) for k in ("maxPartitionBytes", "openCostInBytes", "minPartitionNum", "maxPartitionNum")]
+    known = hashlib.sha256("|".join([*map(str, state), str(spark.sparkContext.defaultParallelism), *settings]).encode()).hexdigest()
+    place = f"{folder.rstrip('/')}/{known}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        count_blocks(read_lines(spark, paths)).write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place)
+
+
+def with_positions(lines: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """Replace the place by ``ord``, the position over all files, and ``line_number``.
 
-    Both count from 1 and count blank lines. One counting pass gives the lines per block. Its
-    table has one row per input block, about a millionth of the bytes read; up to a million
-    blocks it is broadcast.
+    Both count from 1 and count blank lines. ``blocks`` is the count of the lines' blocks, made in a pass of its own
+    if not given. Up to a million blocks it is broadcast.
     """
     earlier = (Window.unboundedPreceding, -1)
-    blocks = lines.groupBy("file", "block").agg(
-        F.count("*").alias("n"), F.min("row").alias("first_row"))
+    blocks = count_blocks(lines) if blocks is None else blocks
+    blocks = blocks.select("file", "block", "n", "first_row")
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(*earlier))
     files = blocks.groupBy("file").agg(F.sum("n").alias("n"))
     skipped = F.sum("n").over(Window.orderBy("file").rowsBetween(*earlier))  # one row per file
-    blocks = blocks.withColumn("before", F.coalesce(before, F.lit(0))).drop("n").join(
+    blocks = blocks.withColumn("before", F.coalesce(before, F.lit(0))).join(
         files.select("file", F.coalesce(skipped, F.lit(0)).alias("skipped")), "file")
     # The lines are scanned again later; other files or split settings by then are an error.
-    known = F.coalesce("first_row", F.raise_error(F.lit("the input or its splits changed")).cast("bigint"))
+    inside = (F.col("row") >= F.col("first_row")) & (F.col("row") < F.col("first_row") + F.col("n"))
+    known = F.when(inside, F.col("first_row")).otherwise(F.raise_error(F.lit("the input or its splits changed")).cast("bigint"))
     line = F.col("before") + F.col("row") - known + 1
     return (
         lookup_join(lines, blocks, ["file", "block"], max_broadcast_rows=1_000_000)
         .withColumn("line_number", line).withColumn("ord", F.col("skipped") + F.col("line_number"))
-        .drop("block", "row", "first_row", "before", "skipped")
+        .drop("block", "row", "first_row", "before", "skipped", "n")
     )
 
 
@@ -94,19 +123,23 @@ def rejected_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def read_events(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
+def read_events(spark: SparkSession, path: str | list[str], strict: bool = False, index: str | None = None) -> DataFrame:
     """Events of JSON-lines files, each with an id and its position ``ord``.
 
-    Bad lines are skipped; with ``strict`` one bad line is an error. No events is an error.
+    Bad lines are skipped; with ``strict`` one bad line is an error. No events is an error. With a folder
+    ``index``, the lines of an unchanged log are counted once and for all (see ``block_index``), and a later run scans
+    the log only for its events; without it, a counting pass and a look for a first event come before.
     """
     lines = read_lines(spark, path)
     if strict:
         counts = rejected_lines(lines).first()
         if counts["n_rejected"]:
             raise ValueError(f"{counts['n_rejected']} lines are no JSON objects: {path}")
-    if parse_events(lines).isEmpty():
+    blocks = None if index is None else block_index(spark, path, index)
+    empty = parse_events(lines).isEmpty() if blocks is None else blocks.filter("n_events > 0").isEmpty()
+    if empty:
         raise ValueError(f"no valid JSON events in {path}")
-    events = parse_events(with_positions(lines))
+    events = parse_events(with_positions(lines, blocks))
     return events.withColumn(
         "flow_id", F.coalesce("flow_id", fallback_flow_id(F.col("line_number")))
     ).drop("line_number", "file")

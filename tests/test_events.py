@@ -3,10 +3,12 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowsieve.operators.collapse import collapse
 from flowsieve.operators.extract import extract, extract_counts, is_attack
-from flowsieve.sources.events import read_events, read_lines, rejected_lines, with_positions
+from flowsieve.sources import events as events_module
+from flowsieve.sources.events import count_blocks, read_events, read_lines, rejected_lines, with_positions
 
 
 @pytest.fixture(scope="module")
@@ -106,3 +108,45 @@ def test_extract(spark, golden_path):
     everything = extract(events, is_attack(None), max_normal=10_000, normal_type="any")
     assert everything.count() == 17
     assert extract(events, is_attack(None), max_normal=5, normal_type="any").count() == 5
+
+
+def log_files(folder):
+    folder.mkdir()
+    for name in "ba":
+        (folder / f"{name}.jsonl").write_text("\n".join(
+            ["", "no json"] + [f'{{"src_ip": "{name}{i}", "flow_id": {i if i % 3 else "null"}}}' for i in range(40)]) + "\n")
+    return str(folder)
+
+
+def test_block_index_is_counted_once(spark, tmp_path, monkeypatch):
+    logs, index = log_files(tmp_path / "logs"), str(tmp_path / "index")
+    want = sorted(map(tuple, read_events(spark, logs).select("ord", "flow_id", "src_ip").collect()))
+    assert sorted(map(tuple, read_events(spark, logs, index=index).select("ord", "flow_id", "src_ip").collect())) == want
+
+    def counted(*_):
+        raise AssertionError("counted again")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(events_module, "count_blocks", counted)
+        again = read_events(spark, logs, index=index)
+        assert sorted(map(tuple, again.select("ord", "flow_id", "src_ip").collect())) == want
+        plan = again._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("value#") and sum("text" in line for line in plan.splitlines() if "Relation" in line) == 1
+    (tmp_path / "logs" / "c.jsonl").write_text('{"src_ip": "c", "flow_id": 7}\n')
+    more = read_events(spark, logs, index=index)
+    assert more.count() == len(want) + 1 and more.filter("src_ip = 'c'").first()["ord"] == 85
+
+
+def test_block_index_of_an_empty_log(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.jsonl").write_text("\n[1]\n")
+    with pytest.raises(ValueError, match="no valid JSON"):
+        read_events(spark, str(tmp_path / "logs"), index=str(tmp_path / "index"))
+
+
+def test_another_packing_is_an_error(spark, tmp_path):
+    """Counts of other splits are refused, not used."""
+    logs = log_files(tmp_path / "logs")
+    blocks = count_blocks(read_lines(spark, logs)).withColumn("first_row", F.col("first_row") + 7)
+    with pytest.raises(Exception, match="splits changed"):
+        with_positions(read_lines(spark, logs), blocks).collect()
