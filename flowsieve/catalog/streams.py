@@ -13,7 +13,9 @@ from flowsieve.plans.training import fit
 from flowsieve.runtime import new_path, stage
 from flowsieve.schema import Settings
 from flowsieve.sources.events import read_events
-from flowsieve.streaming.live import read_event_stream, score_stream, windowed_flows, write_alerts
+from flowsieve.streaming.live import (
+    rate_limit_stream, read_event_stream, score_stream, windowed_flows, write_alerts, write_undated,
+)
 
 _TYPES = ["view", "signup", "error", "click", "purchase"]
 _FIRST_SQL = ", ".join(f"arg_min(value, event_id) filter (event_type = '{t}') as first_{t}" for t in _TYPES)
@@ -62,6 +64,38 @@ def stream_windows(spark, sf_dir):
     return _flat(spark.read.schema(flows.schema).parquet(f"{out}/rows"))
 
 
+@query("""with r as (select time_bucket(interval '5 minutes', ts) as w, event_type, event_id,
+row_number() over (partition by time_bucket(interval '5 minutes', ts), event_type order by ts, event_id) as rank from events where ts is not null)
+select strftime(w, '%Y-%m-%d %H:%M') as window_start, event_type, event_id, cast(rank as int) as rank from r where rank <= 3""")
+def stream_rate_limit(spark, sf_dir):
+    """The first three events of each type per five minutes, held in state by a stream."""
+    events = _event_files(spark, sf_dir, table(spark, sf_dir, "events").schema)
+    found = rate_limit_stream(events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id"), 3, tie="event_id", keys=("event_type",))
+    out = new_path(spark, "stream")
+    write_alerts(found, f"{out}/rows", f"{out}/state").awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(f"{out}/rows").filter("rank is not null")
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "event_id", "rank")
+
+
+def _stamped_lines(spark, sf_dir):
+    """Events as JSON lines; one in ten has no time, one in ten a time that cannot be read."""
+    stamp = F.when(F.col("event_id") % 10 == 3, F.lit(None)).when(F.col("event_id") % 10 == 7, F.lit("soon")).otherwise(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+0000'"))
+    record = F.struct(F.col("event_id").alias("flow_id"), F.col("event_type"), stamp.alias("timestamp"))
+    path = new_path(spark, "lines")
+    table(spark, sf_dir, "events").select(F.to_json(record).alias("value")).write.text(path)
+    return path
+
+
+@query("select event_type, count(*) as n from events where event_id % 10 in (3, 7) group by event_type")
+def stream_undated(spark, sf_dir):
+    """Events without a usable time, which no window holds, in their side table."""
+    out = new_path(spark, "stream")
+    events = read_event_stream(spark, _stamped_lines(spark, sf_dir))
+    write_undated(events.select("flow_id", "event_type", "ts"), f"{out}/rows", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 def _scorer(spark, sf_dir):
     """Boosted trees that know which flows had an alert, and the scaler they were trained with."""
     flows = flow_rows(spark, sf_dir).withColumn("h_alert", F.col("alert_signature"))

@@ -7,8 +7,10 @@ in each, as it would be in two consecutive batches.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from flowsieve.functions.text import fallback_flow_id
 from flowsieve.plans.scoring import alerts, score_flows
@@ -69,6 +71,51 @@ def score_stream(events: DataFrame, model: Model, params: dict,
     return alerts(scored, benign_labels)
 
 
+def rate_limit_stream(alerts: DataFrame, keep: int, ts: str = "ts", tie: str = "ord", width_seconds: int = 300,
+                      delay: str = "5 minutes", keys: tuple[str, ...] = ("alert_signature", "src_ip")) -> DataFrame:
+    """The first ``keep`` alerts per window, signature and source of a stream, as they come, and closing counts.
+
+    Rows are ``window_start``, the keys, ``ts``, ``tie``, ``rank`` for an alert that passes; and, once the watermark has passed a window's
+    end, one row with null ``ts``, ``tie`` and ``rank`` and ``suppressed``, how many more there were. Ranks follow (``ts``, ``tie``) within
+    a micro-batch and arrival across them, so with alerts in order of time they are those of ``rate_limit``.
+    State is one pair of numbers per key and open window; a timer drops it. It is in the checkpoint, so a
+    restarted query goes on where it was. Alerts later than the watermark and without a time are left out here.
+    """
+    fields = alerts.schema
+    kinds = {k: fields[k].dataType.simpleString() for k in (*keys, ts, tie)}
+    window = F.window(ts, f"{width_seconds} seconds")["start"]
+    rows = alerts.filter(F.col(ts).isNotNull()).withWatermark(ts, delay).select(window.alias("window_start"), *keys, ts, tie)
+
+    def step(key: tuple, batches, state):
+        base = {"window_start": [key[0]], **{k: [v] for k, v in zip(keys, key[1:])}}
+        if state.hasTimedOut:
+            seen, = state.get
+            state.remove()
+            yield pd.DataFrame({**base, ts: [pd.NaT], tie: [None], "rank": [None], "suppressed": [max(0, seen - keep)]})
+            return
+        seen = state.get[0] if state.exists else 0
+        found = pd.concat(list(batches)).sort_values([ts, tie])
+        passed = found.head(max(0, keep - seen))
+        if len(passed):
+            yield pd.DataFrame({**{c: v * len(passed) for c, v in base.items()}, ts: passed[ts].to_numpy(), tie: passed[tie].to_numpy(),
+                                "rank": range(seen + 1, seen + 1 + len(passed)), "suppressed": [None] * len(passed)})
+        state.update((seen + len(found),))
+        state.setTimeoutTimestamp(int(key[0].timestamp() * 1000) + 1000 * width_seconds)
+
+    out = ", ".join(["window_start timestamp", *[f"{c} {kinds[c]}" for c in (*keys, ts, tie)], "rank int", "suppressed bigint"])
+    return rows.groupBy("window_start", *keys).applyInPandasWithState(step, out, "seen bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def write_undated(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append the events without a usable time to a side table, which ``score_stream`` cannot place in a window."""
+    return write_alerts(undated(events), path, checkpoint, trigger)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after their window was closed, by the progress reports of a query since it was started."""
+    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+
+
 def write_alerts(alert_rows: DataFrame, path: str, checkpoint: str,
                  trigger: dict | None = None) -> StreamingQuery:
     """Append alert rows to a table; the checkpoint makes each window's output exactly once.
