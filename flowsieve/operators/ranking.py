@@ -32,30 +32,51 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     )
 
 
+#: Bits of a bucket number that are settled at a time, so that no window sees more than 65,536 rows of a group.
+DIGIT = 16
+
+
+def _run_out(counts: DataFrame, quota: DataFrame) -> DataFrame:
+    """Written (_of, _edge, _quota, _full): the bucket in which each group's quota runs out, and the rows before it.
+
+    ``counts`` is written (_group, _bucket, _n), buckets not negative. Digits of the bucket number are settled from the top:
+    sums per digit below the ones known, until the quota falls into one. ``_edge`` is null where the quota does not run out.
+    """
+    highest = int(counts.agg(F.max("_bucket")).first()[0] or 0)
+    state = stage(counts.select("_group").distinct().join(
+        F.broadcast(quota), F.col("_group").eqNullSafe(F.col("_of"))).select(
+            "_of", F.col("quota").alias("_quota"), F.lit(0).cast("bigint").alias("_full"), F.lit(0).cast("bigint").alias("_edge")), "edges")
+    for shift in range(DIGIT * ((max(1, highest.bit_length()) - 1) // DIGIT), -1, -DIGIT):
+        digit = F.shiftright("_bucket", shift)
+        inside = counts.join(F.broadcast(state.filter("_edge is not null")), F.col("_group").eqNullSafe(F.col("_of"))).filter(
+            F.shiftright(digit, DIGIT) == F.col("_edge"))
+        sums = inside.groupBy("_of", digit.alias("_digit")).agg(
+            F.sum("_n").alias("_n"), F.first("_quota").alias("_quota"), F.first("_full").alias("_full"))
+        upto = F.col("_full") + F.sum("_n").over(Window.partitionBy("_of").orderBy("_digit"))
+        found = sums.withColumn("_upto", upto).groupBy("_of").agg(
+            F.min(F.when(F.col("_upto") > F.col("_quota"), F.col("_digit"))).alias("_at"),
+            F.max(F.when(F.col("_upto") <= F.col("_quota"), F.col("_upto"))).alias("_now"))
+        found = found.withColumnRenamed("_of", "_found")
+        # One row per group.
+        state = stage(state.join(F.broadcast(found), F.col("_of").eqNullSafe(F.col("_found")), "left").select(
+            "_of", "_quota", F.coalesce("_now", "_full").alias("_full"), F.col("_at").alias("_edge")), "edges")
+    return state
+
+
 def take_by_quota(df: DataFrame, quota: DataFrame, group: str, bucket: Column,
                   order: list[str], flag: str) -> DataFrame:
     """Mark, per group, the first ``quota`` rows in order: ``flag`` is true for them.
 
-    ``bucket`` must never decrease along the (unique) order. Counting rows per (group,
-    bucket) finds the one bucket per group in which the quota runs out; only the keys of that
+    ``bucket`` must never decrease along the (unique) order, nor be negative. Counting rows per (group,
+    bucket) finds the one bucket per group in which the quota runs out (see ``_run_out``); only the keys of that
     bucket are sorted, to find the last row inside. The rows themselves are then compared
     with one cut per group: they are neither shuffled nor sorted, and no task holds a group.
     ``quota`` has the columns (group, quota), one row for each of few groups.
     """
     place = F.struct(*[F.col(c) for c in order])
-    keys = df.select(F.col(group).alias("_group"), bucket.alias("_bucket"), place.alias("_place"))
+    keys = df.select(F.col(group).alias("_group"), bucket.cast("bigint").alias("_bucket"), place.alias("_place"))
     quota = quota.select(F.col(group).alias("_of"), "quota")
-    upto = F.sum("_n").over(Window.partitionBy("_group").orderBy("_bucket"))
-    edges = (
-        keys.groupBy("_group", "_bucket").agg(F.count("*").alias("_n"))
-        .withColumn("_upto", upto)
-        .join(F.broadcast(quota), F.col("_group").eqNullSafe(F.col("_of")))
-        .groupBy("_of").agg(
-            F.min(F.when(F.col("_upto") > F.col("quota"), F.col("_bucket"))).alias("_edge"),
-            F.max("quota").alias("_quota"),
-            F.coalesce(F.max(F.when(F.col("_upto") <= F.col("quota"), F.col("_upto"))), F.lit(0)).alias("_full"))
-    )
-    edges = stage(edges, "edges")  # one row per group
+    edges = _run_out(stage(keys.groupBy("_group", "_bucket").agg(F.count("*").alias("_n")), "counts"), quota)
     rank = F.row_number().over(Window.partitionBy("_of", "_bucket").orderBy("_place"))
     cuts = (
         keys.join(F.broadcast(edges), F.col("_group").eqNullSafe(F.col("_of")))
@@ -72,7 +93,7 @@ def take_by_quota(df: DataFrame, quota: DataFrame, group: str, bucket: Column,
         | ((F.col("_bucket") == F.col("_edge")) & F.coalesce(place <= F.col("_last"), F.lit(False)))
     )
     return (
-        df.withColumn("_bucket", bucket)
+        df.withColumn("_bucket", bucket.cast("bigint"))
         .join(F.broadcast(cuts), F.col(group).eqNullSafe(F.col("_of")))
         .withColumn(flag, inside).select(*df.columns, flag)
     )

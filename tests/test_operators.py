@@ -12,6 +12,7 @@ from flowsieve.operators.features import (
 )
 from flowsieve.operators.metrics import classification_report, confusion_long, confusion_wide, report_dict
 from flowsieve.operators.propagate import apply_replies, label_contexts, propagate
+from flowsieve.operators import ranking
 from flowsieve.operators.ranking import exact_quantiles, number_rows, take_by_quota
 from flowsieve.operators.select import exemplars, outliers
 from flowsieve.operators.skew import lookup_join
@@ -53,6 +54,21 @@ def test_take_by_quota(spark):
         assert sorted(r["v"] for r in got if r["g"] == g and r["take"]) == values[:n]
 
 
+@pytest.mark.parametrize("digit", [3, 16])
+def test_quota_runs_out_by_digits(spark, monkeypatch, digit):
+    """Few bits at a time, buckets far apart, and a window that never sees more than a digit's values."""
+    monkeypatch.setattr(ranking, "DIGIT", digit)
+    rng = random.Random(digit)
+    buckets = [0, 1, 7, 8, 9, 511, 512, 70_000, 2 ** 40, 2 ** 50 + 5]
+    data = [(g, rng.choice(buckets)) for g in "abc" for _ in range(60)]
+    rows = spark.createDataFrame([(g, v, i) for i, (g, v) in enumerate(data)], "g string, v long, i int")
+    quota = spark.createDataFrame([("a", 0), ("b", 31), ("c", 1000)], "g string, quota long")
+    got = take_by_quota(rows, quota, "g", F.col("v"), ["v", "i"], "take").collect()
+    for g, n in (("a", 0), ("b", 31), ("c", 1000)):
+        mine = sorted((r["v"], r["i"]) for r in got if r["g"] == g)
+        assert len(mine) == 60 and sorted((r["v"], r["i"]) for r in got if r["g"] == g and r["take"]) == mine[:n]
+
+
 def test_take_by_quota_with_null_group_and_ties_in_a_bucket(spark):
     rows = spark.createDataFrame([(None, i) for i in range(50)] + [("a", i) for i in range(7)], "g string, v int")
     quota = spark.createDataFrame([(None, 11), ("a", 7)], "g string, quota long")
