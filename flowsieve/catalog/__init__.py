@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import all query modules, which register themselves."""
-    from flowsieve.catalog import clusters, evaluation, events, labels, models, streams, text  # noqa: F401
+    from flowsieve.catalog import clusters, evaluation, events, labels, models, runs, streams, text  # noqa: F401
