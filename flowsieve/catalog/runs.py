@@ -10,6 +10,7 @@ from flowsieve.operators.density import density_cluster
 from flowsieve.operators.features import fit_scaler, scaler_values
 from flowsieve.operators.propagate import label_contexts
 from flowsieve.operators.split import can_stratify, train_test
+from flowsieve.operators.summary import refresh_scaler
 from flowsieve.plans import labeling
 from flowsieve.plans.scoring import is_threat
 from flowsieve.plans.training import PREDICTION, feature_importance, predict, train_and_measure
@@ -166,3 +167,16 @@ def guards(spark, sf_dir):
         "two rows": two.filter("cluster_label = 0 and cluster_probability = 1").count() == 2,
     }
     return spark.createDataFrame(list(answers.items()), "rows string, answer boolean")
+
+
+@query("select unnest(['l_quantity', 'l_extendedprice']) as \"column\", true as close, (select count(*) from lineitem) as n")
+def scaler_refresh(spark, sf_dir):
+    """A scaler kept up to date over three batches, one of them twice, lies within its bound of the exact one."""
+    columns, folder = ["l_quantity", "l_extendedprice"], new_path(spark, "summaries")
+    rows = table(spark, sf_dir, "lineitem")
+    for batch in (0, 1, 2, 1):
+        found = refresh_scaler(rows.filter(F.col("l_orderkey") % 3 == batch), columns, folder, str(batch))
+    exact = fit_scaler(rows, columns).select("column", F.col("center").alias("c"), F.col("scale").alias("s"))
+    counted = spark.read.parquet(folder).groupBy("column").agg(F.sum("n").alias("n"))
+    close = (F.abs(F.col("center") - F.col("c")) <= F.col("error") + 1e-9) & (F.abs(F.col("scale") - F.col("s")) <= 2 * F.col("error") + 1e-9)
+    return found.join(exact, "column").join(counted, "column").select("column", close.alias("close"), "n")
