@@ -124,6 +124,43 @@ def resolve(groups: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
     return groups.alias("g").join(found.alias("f"), "digest").select("digest", "n", "member", kept("id"), kept("place"))
 
 
+def absorbed(history: DataFrame, groups: DataFrame) -> DataFrame:
+    """Written (digest, id, place, n): the history after new groups, both one row per digest as ``winners`` gives.
+
+    Groups are looked up in the history's index. Members add to their entry, whose winner stays the larger of both;
+    nonmembers become entries.
+    """
+    buckets = max(1, ceil(max(history.count(), groups.count()) / BUCKET_DIGESTS))
+    index = stage(build_index(history, buckets), "exact_index")
+    found = stage(resolve(groups, index, buckets).join(groups.select("digest", "id", "place"), "digest"), "exact_found")
+    best = F.greatest(F.struct("id", "place"), F.struct(F.col("keep_id").alias("id"), F.col("keep_place").alias("place")))
+    repeats = found.filter("member").select("digest", best.alias("best"), F.col("n").alias("more"))
+    own = F.struct("id", "place")
+    old = history.join(repeats, "digest", "left").select(
+        "digest", F.coalesce("best", own).alias("w"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+    new = found.filter(~F.col("member")).select("digest", own.alias("w"), "n")
+    return stage(old.unionByName(new).select("digest", "w.id", "w.place", "n"), "exact_history")
+
+
+def incremental_groups(docs: DataFrame, step: Column, steps: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256, as they are after ``steps`` increments.
+
+    Increment ``step`` (from 0; null counts as 0) is looked up in the perfect hash of all before it. Of rows with equal
+    bytes the one with the largest id stays, whichever increment it came in; null ids lose, null texts count as empty.
+    Ids are numbers. An empty table gives an empty one.
+    """
+    rows = stage(docs.select(F.col(id_col).cast("bigint").alias("id"), F.unhex(text_key(F.col(text_col))).alias("digest"),
+                             F.monotonically_increasing_id().alias("place"), F.coalesce(step, F.lit(0)).alias("step")), "exact_rows")
+    parts = [rows.filter(F.col("step") == i) for i in range(steps)]
+    history = stage(winners(parts[0]), "exact_history")
+    for part in parts[1:]:
+        history = absorbed(history, stage(winners(part), "exact_groups"))
+    entry = history.select("digest", F.col("id").alias("keep_id"), F.col("place").alias("keep_place"), F.col("n").alias("group_size"))
+    return rows.join(entry, "digest").select(
+        F.col("id").alias(id_col), "keep_id", "group_size", (F.col("place") == F.col("keep_place")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def exact_groups(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, member, text_sha256.

@@ -9,14 +9,14 @@ import public_tokenizers
 from flowsieve.llm.bpe import Tokenizer
 from flowsieve.llm.decontaminate import contamination
 from flowsieve.llm import langid, lm, trie
-from flowsieve.llm.exact import exact_groups
+from flowsieve.llm.exact import incremental_groups
 from flowsieve.llm.html import main_text
 from flowsieve.llm.mixing import mixed
 from flowsieve.llm.near import near_classes
 from flowsieve.llm.pii import pseudonymized
 from flowsieve.llm.registry import query, table
 from flowsieve.llm.runs import longest_run, periodic_runs
-from flowsieve.llm.secrets import addressed, findings_by_row, scan
+from flowsieve.llm.secrets import addressed, findings_by_row, scan_increments
 from flowsieve.llm.sharding import sharded
 from flowsieve.operators.skew import lookup_join
 from flowsieve.runtime import stage
@@ -79,8 +79,8 @@ def op9_mix(spark, sf_dir):
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, text_sha256
 from d window g as (partition by text_sha256)""")
 def op4_exact(spark, sf_dir):
-    """Groups of documents with equal texts, looked up in a perfect hash of all distinct digests."""
-    return exact_groups(table(spark, sf_dir, "documents")).drop("member")
+    """Groups of documents with equal texts: even ids come after odd ones and are looked up in a perfect hash of those."""
+    return incremental_groups(table(spark, sf_dir, "documents"), 1 - F.pmod("doc_id", F.lit(2)), 2)
 
 
 @query()
@@ -113,9 +113,9 @@ select doc_id, cast(coalesce(n_assign, 0) as bigint) as n_assign, cast(coalesce(
 cast(coalesce(n_hex, 0) as bigint) as n_hex, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join a using (rid)""")
 def op7_secrets(spark, sf_dir):
-    """Secrets in every document, scanned once per distinct text."""
+    """Secrets in every document: even ids come after odd ones, and of those only texts that the ledger lacks are scanned."""
     rows = addressed(table(spark, sf_dir, "documents"), ["doc_id"])
-    _, findings = scan(rows)
+    _, findings = scan_increments(rows, 1 - F.pmod("doc_id", F.lit(2)), 2)
     found = findings_by_row(rows, findings, ["doc_id"])
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
 

@@ -108,3 +108,17 @@ def findings_by_row(rows: DataFrame, findings: DataFrame, keys: list[str], rules
     joined = rows.select(*keys, "blob").join(per_blob.withColumn("spans", spans).drop("found"), "blob", "left")
     return joined.select(*keys, *[F.coalesce(f"n_{r.name}", F.lit(0)).cast("bigint").alias(f"n_{r.name}") for r in rules],
                          F.coalesce("spans", F.lit("")).alias("spans"))
+
+
+def scan_increments(versions: DataFrame, step: Column, steps: int, rules: list[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
+    """Ledger and findings of ``versions`` (blob, text) that arrive in ``steps`` increments, both over all of them.
+
+    Increment ``step`` counts from 0, null as 0. After each the ledger is written, and the next one scans only the blob and
+    rule-version pairs that it does not have.
+    """
+    ledger, findings = scan(versions.filter(F.coalesce(step, F.lit(0)) == 0), rules)
+    for i in range(1, steps):
+        ledger = stage(ledger, "ledger")
+        more, found = scan(versions.filter(step == i), rules, ledger)
+        ledger, findings = ledger.unionByName(more), findings.unionByName(found)
+    return ledger, findings

@@ -6,9 +6,10 @@ shard of about the target bytes; a node of an odd number of shards is split in p
 So a shard is a box in metadata space: documents alike in source, language and length stay
 together, and shards have nearly equal bytes whatever the skew.
 
-Only (dimensions, bytes) per row is written and read again. Spreads and medians are grouped
+Only (dimensions, bytes) per row is written and read again. The nodes of a level are a table too, joined
+on the node, so a tree of thousands of shards is no larger a plan than one of eight. Spreads and medians are grouped
 sums: all nodes of a level are split in the same passes, and rows that tie on the dimension,
-such as one hot source, are split by a hash. Slots count rows per bucket of a hash, so no
+such as one hot source, are split by a hash. The row at a cut goes to the side that it brings nearer to its share. Slots count rows per bucket of a hash, so no
 shard is sorted as a whole.
 """
 
@@ -19,6 +20,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowsieve.llm.cuts import PLACE_BITS, below_cut, weighted_cuts
+from flowsieve.operators.skew import lookup_join
 from flowsieve.runtime import stage
 
 #: Rows of a slot bucket, about; a bucket is ordered in one task.
@@ -40,40 +42,33 @@ def _measure(column: str, kind: str) -> Column:
 def kd_shards(rows: DataFrame, dimensions: list[str], shards: int) -> DataFrame:
     """Add ``shard`` to written rows of (size, _place, dimensions as numbers).
 
-    ``_place`` is unique. Rows of size 0 follow their neighbours in the order. No rows, no shards.
+    ``_place`` is unique. Rows of size 0 follow their neighbours in the order. Rows that tie on the dimension at a cut are told
+    apart by a hash of ``_place``. No rows, no shards.
     """
-    node = F.lit(0)
     root = rows.agg(*[F.min(d).alias(f"lo_{d}") for d in dimensions], *[F.max(d).alias(f"hi_{d}") for d in dimensions]).first()
     low = {d: root[f"lo_{d}"] or 0.0 for d in dimensions}
     width = {d: (root[f"hi_{d}"] or 0.0) - low[d] or 1.0 for d in dimensions}
-    # A node is named by its first shard; it holds shards [first, first + count).
-    counts = {0: shards}
-    placed = rows.withColumn("shard", node)
-    while any(n > 1 for n in counts.values()):
-        splits = {first: n for first, n in counts.items() if n > 1}
-        spread = placed.filter(F.col("shard").isin(list(splits))).groupBy("shard").agg(
-            F.sum("size").alias("bytes"), *[(F.max(d) - F.min(d)).alias(d) for d in dimensions]).collect()  # a row per shard at most
-        widest = {r["shard"]: max(dimensions, key=lambda d: (r[d] / width[d], d)) for r in spread}
-        quotas = {r["shard"]: r["bytes"] * (splits[r["shard"]] // 2) / splits[r["shard"]] for r in spread}
-        along = F.lit(0).cast("bigint")
-        for first, dimension in widest.items():
-            steps = F.floor((F.col(dimension) - low[dimension]) / width[dimension] * STEPS).cast("bigint")
-            along = F.when(F.col("shard") == first, steps).otherwise(along)
+    steps = F.array(*[F.floor((F.col(d) - low[d]) / width[d] * STEPS).cast("bigint") for d in dimensions])
+    # A node is named by its first shard and holds ``n`` of them. Written, so that the node is no constant to a join.
+    placed = stage(rows.withColumns({"shard": F.lit(0), "n": F.lit(shards)}), "kd_level")
+    most = shards
+    while most > 1:
+        spread = placed.filter("n > 1").groupBy("shard", "n").agg(
+            F.sum("size").alias("bytes"), *[(F.max(d) - F.min(d)).alias(d) for d in dimensions])
+        widest = F.array_max(F.array(*[F.struct((F.col(d) / width[d]).alias("share"), F.lit(d).alias("name"), F.lit(i).alias("i"))
+                                       for i, d in enumerate(dimensions)]))["i"]
+        half = F.floor(F.col("n") / 2).cast("int")
+        splits = stage(spread.select("shard", widest.alias("_dim"), (F.col("bytes") * half / F.col("n")).alias("quota")), "kd_nodes")
         # 16 bits of the dimension, then 32 bits of a hash that splits ties.
-        keyed = placed.withColumn("_key", F.shiftleft(along, 32) + F.pmod(F.xxhash64("_place"), F.lit(2 ** 32)))
-        if quotas:
-            spark = rows.sparkSession
-            wanted = spark.createDataFrame([(int(k), float(v)) for k, v in quotas.items()], "shard int, quota double")
-            cuts = weighted_cuts(keyed.filter(F.col("shard").isin(list(quotas))), wanted, "shard", {"_key": 48, "_place": PLACE_BITS}, "size")
-            halves = F.lit(0)
-            for first, n in splits.items():
-                halves = F.when(F.col("shard") == first, F.lit(n // 2)).otherwise(halves)
-            high = F.col("left").isNotNull() & ~below_cut(["_key", "_place"])
-            placed = stage(keyed.join(F.broadcast(cuts), "shard", "left").select(  # a row per shard at most
-                *rows.columns, F.when(high, F.col("shard") + halves).otherwise(F.col("shard")).alias("shard")), "kd_level")
-        counts = {first: n for first, n in counts.items() if n == 1} | {
-            k: v for first, n in splits.items() for k, v in ((first, n // 2), (first + n // 2, n - n // 2))}
-    return placed
+        along = F.shiftleft(F.get(steps, F.col("_dim")), 32) + F.pmod(F.xxhash64("_place"), F.lit(2 ** 32))
+        keyed = lookup_join(placed, splits.select("shard", "_dim"), ["shard"]).withColumn("_key", along).drop("_dim")
+        cuts = weighted_cuts(keyed.filter("n > 1"), splits, "shard", {"_key": 48, "_place": PLACE_BITS}, "size", nearer=True)
+        high = F.col("left").isNotNull() & ~below_cut(["_key", "_place"])
+        placed = stage(lookup_join(keyed, cuts, ["shard"]).select(
+            *rows.columns, F.when(high, F.col("shard") + half).otherwise(F.col("shard")).alias("shard"),
+            F.when(high, F.col("n") - half).when(F.col("n") > 1, half).otherwise(F.col("n")).alias("n")), "kd_level")
+        most -= most // 2
+    return placed.drop("n")
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
