@@ -266,3 +266,26 @@ def test_every_position_is_trained(spark):
     # One partition: the weights are those of its own steps.
     rows = spark.createDataFrame([(d.astype(np.uint32).tobytes(),) for d in docs], "tokens binary").coalesce(1)
     assert lm.pack(lm.train(rows, rounds=1, seed=1)) == pytest.approx(learned[0], abs=1e-5)
+
+
+LEFT_ALONE = ["On 2024-01-15 we met", "due 12-11-2023 or 3.12.2021", "the years 1999 2000 2001", "from 1999-2004", "ISBN 978-3-16-148410-0",
+              "ISBN 0-306-40615-2", "at 12:30:45 sharp", "a::b and std::vector", "see 10-20 and 3-4", "Dear reader"]
+REPLACED = [("MR. JOHN SMITH called", ["JOHN", "SMITH"]), ("(555)123-4567", ["(555)123-4567"]), ("dial 555-1234 now", ["555-1234"]),
+            ("host 2001:db8::1 up", ["2001:db8::1"]), ("fe80::a:b", ["fe80::a:b"]), ("+49 30 123456", ["+49 30 123456"]),
+            ("call 030-1234-5678", ["030-1234-5678"]), ("DR. EVE", ["EVE"]), ("192.168.2.77", ["192.168.2.77"])]
+
+
+def test_probed_lines(spark):
+    """Lines the patterns were not written for: what stays, and what goes."""
+    for text in LEFT_ALONE:
+        assert pii.mentions(text) == [], text
+    for text, parts in REPLACED:
+        written = [m.written for m in pii.mentions(text)]
+        assert len(written) == len(parts) and all(w.startswith(p) for w, p in zip(written, parts)), (text, written)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([t for t, _ in REPLACED] + LEFT_ALONE)], "doc_id bigint, text string")
+    quick = [r["q"] for r in rows.orderBy("doc_id").select(F.rlike("text", F.lit(pii.QUICK)).alias("q")).collect()]
+    assert all(quick[:len(REPLACED)])
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymized(rows, "k", ["doc_id"]).collect()}
+    for i, (text, parts) in enumerate(REPLACED):
+        assert got[i] != text and not any(p in got[i] for p in parts)
+    assert [got[len(REPLACED) + i] for i in range(len(LEFT_ALONE))] == LEFT_ALONE
