@@ -4,7 +4,7 @@ Every round adds one symmetric tree for all classes together: on each level the
 splits all nodes, and a leaf holds one value per class. A level is one pass over the rows. Each
 task adds up gradients and curvatures of the softmax loss per node, feature and bin; parts of
 one feature are summed, and its best split found, in one group; the driver sees one row per
-feature. The first pass of a round also gives the loss on the held rows, so training ends in
+feature, or the sums themselves where they are known to be small. The first pass of a round also gives the loss on the held rows, so training ends in
 the loop: ``patience`` rounds without a lower loss, or no split left that gains anything.
 
 Rows are stored as one byte per feature (quantile bins) next to their scores. A pass applies
@@ -28,6 +28,8 @@ BINS = 128
 CHECKPOINT_EVERY = 10
 #: Parts of a feature's sums that one group adds up; with more tasks, groups of parts come first.
 FAN_IN = 64
+#: Bytes of sums, over all tasks, that the driver may add up by itself.
+GATHERED = 32 << 20
 #: Curvature that a child must hold, and the weight of "no change" in a leaf.
 LEAST_CURVATURE, RIDGE = 1.0, 3.0
 LEAST_GAIN = 1e-6
@@ -179,51 +181,61 @@ def _sums(classes: int, sizes: list[int], recent: list[Tree], current: Tree):
     return each
 
 
-def _added(parts: pa.ChunkedArray) -> np.ndarray:
+def _added(parts: list[bytes]) -> np.ndarray:
     # In an order of their own, so that repeated runs round alike.
-    return np.sum([np.frombuffer(p, np.float64) for p in sorted(parts.to_pylist())], axis=0)
+    return np.sum([np.frombuffer(p, np.float64) for p in sorted(parts)], axis=0)
 
 
 def _sum_parts(group: pa.Table) -> pa.Table:
     feature = group.column("feature")[0].as_py()
-    return pa.table({"feature": pa.array([feature], pa.int32()), "part": pa.array([_added(group.column("part")).tobytes()], pa.binary())})
+    return pa.table({"feature": pa.array([feature], pa.int32()), "part": pa.array([_added(group.column("part").to_pylist()).tobytes()], pa.binary())})
 
 
-def _best_split(classes: int, sizes: list[int]):
-    """The best bin of a feature to split all nodes at: gain, bin, and the sums (node, class) on the left and in all."""
+def _best_split(feature: int, added: np.ndarray, classes: int, size: int) -> tuple[float, int, np.ndarray, np.ndarray]:
+    """The best bin of a feature to split all nodes at: gain, bin, and the sums (node, class) up to it and in all."""
 
     def worth(sums: np.ndarray) -> np.ndarray:
         gradient, curvature = sums[..., :classes], sums[..., classes:]
         return (gradient ** 2 / (curvature + RIDGE)).sum(axis=-1)
 
-    def each(group: pa.Table) -> pa.Table:
-        feature = group.column("feature")[0].as_py()
-        added = _added(group.column("part"))
-        gain, at, left, total = 0.0, 0, added, np.empty(0)
-        if feature >= 0:
-            sums = added.reshape(-1, sizes[feature] + 1, 2 * classes)
-            upto = np.cumsum(sums, axis=1)
-            whole = upto[:, -1:]
-            below, above = upto[:, :-1], whole - upto[:, :-1]
-            open_ = (below[..., classes:].sum(axis=-1) >= LEAST_CURVATURE) & (above[..., classes:].sum(axis=-1) >= LEAST_CURVATURE)
-            gains = np.where(open_, worth(below) + worth(above) - worth(whole), 0.0).sum(axis=0)
-            at = int(gains.round(9).argmax())
-            gain, left, total = float(gains[at]), below[:, at], whole[:, 0]
-        return pa.table({"feature": pa.array([feature], pa.int32()), "gain": [gain], "bin": pa.array([at], pa.int32()),
-                         "below": pa.array([left.tobytes()], pa.binary()), "total": pa.array([total.tobytes()], pa.binary())})
+    if feature < 0:
+        return 0.0, 0, added, np.empty(0)
+    upto = np.cumsum(added.reshape(-1, size + 1, 2 * classes), axis=1)
+    whole = upto[:, -1:]
+    below, above = upto[:, :-1], whole - upto[:, :-1]
+    open_ = (below[..., classes:].sum(axis=-1) >= LEAST_CURVATURE) & (above[..., classes:].sum(axis=-1) >= LEAST_CURVATURE)
+    gains = np.where(open_, worth(below) + worth(above) - worth(whole), 0.0).sum(axis=0)
+    at = int(gains.round(9).argmax())
+    return float(gains[at]), at, below[:, at], whole[:, 0]
 
-    return each
 
+def _splits(rows: DataFrame, tasks: int, classes: int, sizes: list[int], recent: list[Tree], current: Tree) -> list[tuple]:
+    """One pass: (feature, gain, bin, sums below, sums in all) of every feature, and for a tree's first level the loss.
 
-def _splits(rows: DataFrame, tasks: int, classes: int, sizes: list[int], recent: list[Tree], current: Tree) -> list:
-    """One pass: the best split per feature, and for a tree's first level the loss."""
+    The tasks' sums are added up by feature in groups, one row per feature comes back. Only where all of them together are
+    known to be small, as their size follows from the parameters, are they sent to the driver and added up there.
+    """
     parts = rows.mapInArrow(_sums(classes, sizes, recent, current), "feature int, part binary")
+    if tasks * sum((s + 1 << len(current.features)) * 16 * classes for s in sizes) <= GATHERED:
+        found: dict[int, list[bytes]] = {}
+        for r in parts.collect():
+            found.setdefault(r["feature"], []).append(bytes(r["part"]))
+        return [(f, *_best_split(f, _added(p), classes, sizes[f])) for f, p in sorted(found.items())]
     while tasks > FAN_IN:
         tasks = -(-tasks // FAN_IN)
         salt = F.pmod(F.xxhash64("part"), F.lit(tasks)).alias("salt")
         parts = parts.groupBy("feature", salt).applyInArrow(_sum_parts, "feature int, part binary")
-    return parts.groupBy("feature").applyInArrow(
-        _best_split(classes, sizes), "feature int, gain double, bin int, below binary, total binary").collect()
+
+    def best(group: pa.Table) -> pa.Table:
+        feature = group.column("feature")[0].as_py()
+        gain, at, below, total = _best_split(feature, _added(group.column("part").to_pylist()), classes, sizes[feature])
+        return pa.table({"feature": pa.array([feature], pa.int32()), "gain": [gain], "bin": pa.array([at], pa.int32()),
+                         "below": pa.array([below.tobytes()], pa.binary()), "total": pa.array([total.tobytes()], pa.binary())})
+
+    found = parts.groupBy("feature").applyInArrow(best, "feature int, gain double, bin int, below binary, total binary").collect()
+    numbers = lambda b: np.frombuffer(b, np.float64)
+    return [(r["feature"], r["gain"], r["bin"], numbers(r["below"]).reshape(-1, 2 * classes) if r["feature"] >= 0 else numbers(r["below"]),
+             numbers(r["total"]).reshape(-1, 2 * classes)) for r in found]
 
 
 def _stored(rows: DataFrame, model: BoostedTrees, classes: int) -> DataFrame:
@@ -274,23 +286,21 @@ def boost(rows: DataFrame, features: list[str], labels: list[str], rounds: int,
         tree = Tree([], [], np.empty(0), [])
         for level in range(depth):
             found = _splits(stored, tasks, classes, sizes, recent, tree)
-            for r in found:
-                if r["feature"] < 0:
-                    loss, weight = np.frombuffer(r["below"], np.float64)
-                    if weight:
-                        model.losses.append(float(loss / weight))
+            for feature, _, _, below, _ in found:
+                if feature < 0 and below[1]:
+                    model.losses.append(float(below[0] / below[1]))
             if not level:
                 if model.losses and model.losses[-1] < model.losses[best]:
                     best = len(model.losses) - 1
                 if len(model.trees) == rounds or (model.losses and len(model.trees) - best >= patience):
                     found = []
-            top = max((r for r in found if r["feature"] >= 0), key=lambda r: (round(r["gain"], 9), -r["feature"]), default=None)
-            if top is None or top["gain"] <= LEAST_GAIN:
+            top = max((r for r in found if r[0] >= 0), key=lambda r: (round(r[1], 9), -r[0]), default=None)
+            if top is None or top[1] <= LEAST_GAIN:
                 break
-            below = np.frombuffer(top["below"], np.float64).reshape(-1, 2 * classes)
-            sums = np.concatenate([below, np.frombuffer(top["total"], np.float64).reshape(-1, 2 * classes) - below])
+            feature, gain, at, below, total = top
+            sums = np.concatenate([below, total - below])
             values = -rate * sums[:, :classes] / (sums[:, classes:] + RIDGE)
-            tree = Tree([*tree.features, top["feature"]], [*tree.bins, top["bin"]], values, [*tree.gains, top["gain"]])
+            tree = Tree([*tree.features, feature], [*tree.bins, at], values, [*tree.gains, gain])
         if not tree.features:
             break
         model.trees.append(tree)

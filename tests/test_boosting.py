@@ -58,7 +58,9 @@ def by_hand(x, label, weight, classes, rounds, depth, rate):
     return scores, tests
 
 
-def test_equals_whole_arrays(spark, monkeypatch):
+@pytest.mark.parametrize("gathered", [0, boosting.GATHERED])
+def test_equals_whole_arrays(spark, monkeypatch, gathered):
+    monkeypatch.setattr(boosting, "GATHERED", gathered)
     monkeypatch.setattr(boosting, "CHECKPOINT_EVERY", 2)
     rows, x, label, weight = table(spark, wrong=0.2)
     model = boost(rows.repartition(5), ["a", "b", "c"], ["p", "q", "r"], 5, 3, 0.3, 50)
@@ -71,6 +73,7 @@ def test_many_tasks_add_up_in_steps(spark, monkeypatch):
     rows, *_ = table(spark, 200)
     one = boost(rows.coalesce(1), ["a", "b", "c"], ["p", "q", "r"], 2, 2, 0.3, 50)
     monkeypatch.setattr(boosting, "FAN_IN", 2)
+    monkeypatch.setattr(boosting, "GATHERED", 0)
     many = boost(rows.repartition(7), ["a", "b", "c"], ["p", "q", "r"], 2, 2, 0.3, 50)
     assert [(t.features, t.bins) for t in one.trees] == [(t.features, t.bins) for t in many.trees]
 
