@@ -13,14 +13,25 @@ def find_column(columns: list[str], *needles: str) -> str | None:
     return next((c for c in columns if all(w in c.strip().lower() for w in wanted)), None)
 
 
-def read_ground_truth(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
+def _windows_signs() -> tuple[str, str]:
+    """The control characters 0x80 to 0x9F and what cp1252 has there, where it has anything."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return tuple("".join(x) for x in zip(*[p for p in pairs if p[1]]))
+
+
+def read_ground_truth(spark: SparkSession, path: str, encoding: str = "cp1252") -> DataFrame:
     """CSV with trimmed header names, all columns as text.
 
-    ``encoding="cp1252"`` needs ``spark.sql.legacy.javaCharsets``; Latin-1 differs from it
-    only in a few punctuation marks of the label text.
+    cp1252 is read as Latin-1, from which it differs in 27 signs (quotes, dashes, the euro) that are put in afterwards; Spark
+    itself knows it only by a setting of the session.
     """
-    df = spark.read.option("header", True).option("encoding", encoding).csv(path)
-    return df.toDF(*[c.strip() for c in df.columns])
+    windows = encoding.lower() in ("cp1252", "windows-1252")
+    df = spark.read.option("header", True).option("encoding", "ISO-8859-1" if windows else encoding).csv(path)
+    if not windows:
+        return df.toDF(*[c.strip() for c in df.columns])
+    old, new = _windows_signs()
+    signs = str.maketrans(old, new)
+    return df.select(*[F.translate(F.col(f"`{c}`"), old, new).alias(c.translate(signs).strip()) for c in df.columns])
 
 
 def attack_tuples(truth: DataFrame, attack_label: str) -> DataFrame:

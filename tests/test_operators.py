@@ -252,3 +252,12 @@ def test_rate_limit_prunes_before_the_shuffle(spark):
         (0, 7), (1, 7), (2, 7), (10, 987), (11, 987), (12, 987)]
     plan = got._jdf.queryExecution().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_ground_truth_in_windows_encoding(spark, tmp_path):
+    """Quotes, dashes and the euro sign without a session setting; bytes that cp1252 leaves open stay."""
+    path = tmp_path / "truth.csv"
+    path.write_bytes(" Source IP ,\x93Label\x94 \n10.0.0.1,Web Attack \x96 \x91XSS\x92 \x97 \x80 \xe9 \x81\n".encode("latin-1"))
+    rows = read_ground_truth(spark, str(path))
+    assert rows.columns == ["Source IP", "“Label”"]
+    assert rows.first()[1] == "Web Attack – ‘XSS’ — € é \x81"
