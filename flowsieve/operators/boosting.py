@@ -7,7 +7,9 @@ one feature are summed, and its best split found, in one group; the driver sees
 feature, or the sums themselves where they are known to be small. The first pass of a round also gives the loss on the held rows, so training ends in
 the loop: ``patience`` rounds without a lower loss, or no split left that gains anything.
 
-Rows are stored as one byte per feature (quantile bins) next to their scores. A pass applies
+Rows are stored as one byte per feature (quantile bins) next to their scores. Rows alike in bins, label,
+weight and ``held`` have the same scores throughout, so they are one stored row with the sum of their weights: passes read
+as many rows as there are different ones, with few or coarse features far less than the input. A pass applies
 the trees since the scores were last written, CHECKPOINT_EVERY rounds at most, so a lost
 executor costs no more than that. What passes hold grows with nodes, bins, features and
 classes, never with rows: a task's sums are nodes x bins x classes x 2 numbers per feature.
@@ -239,20 +241,22 @@ def _splits(rows: DataFrame, tasks: int, classes: int, sizes: list[int], recent:
 
 
 def _stored(rows: DataFrame, model: BoostedTrees, classes: int) -> DataFrame:
-    """(bins, label, weight, held, scores) of rows (features, label number, weight, held)."""
+    """(bins, label, weight, held, scores) of rows (features, label number, weight, held), equal ones added up."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
             values = np.stack([_numbers(batch.column(f"f{j}")) for j in range(len(model.features))], axis=1)
-            packed = [pa.array([r.tobytes() for r in model.binned(values)], pa.binary()),
-                      pa.array([bytes(8 * classes)] * n, pa.binary())]
-            yield pa.RecordBatch.from_arrays([packed[0], *[batch.column(c) for c in ("label", "weight", "held")], packed[1]],
-                                             ["bins", "label", "weight", "held", "scores"])
+            packed = pa.array([r.tobytes() for r in model.binned(values)], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed, *[batch.column(c) for c in ("label", "weight", "held")]],
+                                             ["bins", "label", "weight", "held"])
 
     chosen = rows.select(*[F.col(f).cast("double").alias(f"f{j}") for j, f in enumerate(model.features)], "label", "weight", "held")
+    binned = chosen.mapInArrow(each, "bins binary, label int, weight double, held boolean")
+    # Counts are exact, so the summed weight does not depend on the order of rows.
+    alike = binned.groupBy("bins", "label", "weight", "held").agg(F.count("*").alias("n"))
     # Even files, few for few rows, since every pass opens them all.
-    return stage(chosen.hint("rebalance").mapInArrow(each, "bins binary, label int, weight double, held boolean, scores binary"), "boosting")
+    return stage(alike.hint("rebalance").select("bins", "label", (F.col("weight") * F.col("n")).alias("weight"), "held",
+                                                F.lit(bytearray(8 * classes)).alias("scores")), "boosting")
 
 
 def _with_scores(rows: DataFrame, classes: int, trees: list[Tree]) -> DataFrame:

@@ -140,3 +140,16 @@ def test_missing_column_is_named(spark):
     df = spark.createDataFrame([("1", "x")], "flow_id string, target_label string")
     with pytest.raises(ValueError, match="training.*'a'"):
         fit(df, features=["a"])
+
+
+def test_equal_rows_are_stored_once(spark):
+    """Passes read different rows, not copies; the trees are those of the weights added up."""
+    rows, x, label, weight = table(spark, 300, wrong=0.2)
+    many = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20)))).drop("copy").repartition(6)
+    model = BoostedTrees(["a", "b", "c"], ["p", "q", "r"], borders(many, ["a", "b", "c"]))
+    stored = boosting._stored(many, model, 3)
+    assert stored.count() == rows.distinct().count()
+    assert stored.agg(F.sum("weight")).first()[0] == 20 * weight.sum()
+    scores, tests = by_hand(x, label, 20 * weight, 3, 3, 3, 0.3)
+    found = boost(many, ["a", "b", "c"], ["p", "q", "r"], 3, 3, 0.3, 50)
+    assert [list(zip(t.features, t.bins)) for t in found.trees] == tests and np.allclose(found.scores(x), scores)
