@@ -3,6 +3,8 @@
 import itertools
 import random
 import re
+import sys
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -250,6 +252,81 @@ def test_every_word_has_its_own_probability(spark, monkeypatch):
         assert got[r["doc_id"]]["logprob"] == pytest.approx(want, abs=1e-2)
 
 
+def test_runs_are_ordered_by_length():
+    rng = np.random.default_rng(3)
+    part = np.concatenate([np.arange(4), rng.integers(0, 4, 300)])
+    key = (40 * rng.random(304) ** 3).astype(np.int64)
+    order, runs = lm._runs(part, key)
+    assert sorted(order) == list(range(304)) and len(runs) == 4
+    for p in range(4):
+        mine = key[order][part[order] == p]
+        want = Counter(key[part == p].tolist())
+        assert [(n, k) for n, at, keys in runs[p] for k in keys] == sorted((n, k) for k, n in want.items())
+        for n, at, keys in runs[p]:
+            assert mine[at:at + n * len(keys)].tolist() == np.repeat(keys, n).tolist()
+
+
+def test_step_against_one_position_at_a_time():
+    rng = np.random.default_rng(4)
+    classes = 40
+    w = lm.initial_weights(4, np.arange(classes ** 2))
+    target = np.concatenate([np.full(60, 7), np.repeat(np.arange(1, 13) * classes, np.arange(1, 13)), rng.integers(0, classes ** 2, 100)])
+    sides = (classes ** 2 * rng.random((len(target), 2 * lm.SIDE)) ** 4).astype(np.int64)
+    want = {k: v.astype(np.float64) for k, v in w.items()}
+    for side, t in zip(sides, target):
+        c, word = divmod(t, classes)
+        x = w["embed"][side].ravel().astype(np.float64)
+        h = np.tanh(x @ w["inner"] + w["inner_bias"])
+        rate, dh = 0.7 / len(target), 0
+        for k, bias, place, wanted in (("classes", "class_bias", ..., c), ("words", "word_bias", c, word)):
+            z = h @ w[k][place] + w[bias][place]
+            error = np.exp(z) / np.exp(z).sum()
+            error[wanted] -= 1
+            dh = dh + w[k][place] @ error
+            want[k][place] -= rate * np.outer(h, error)
+            want[bias][place] -= rate * error
+        dz = dh * (1 - h * h)
+        want["inner"] -= rate * np.outer(x, dz)
+        want["inner_bias"] -= rate * dz
+        np.subtract.at(want["embed"], side, rate * (w["inner"] @ dz).reshape(-1, lm.EMBEDDING))
+    lm.step(w, sides, target, 0.7)
+    assert all(w[k] == pytest.approx(want[k], abs=2e-6) for k in w)
+
+
+def test_large_values_have_probabilities():
+    w = lm.initial_weights(5)
+    w["class_bias"][3], w["class_bias"][4], w["word_bias"][3, 2] = 500, -500, 300
+    sides, target = np.full((2, 2 * lm.SIDE), lm.PAD), np.array([3 * lm.CLASSES + 2, 4 * lm.CLASSES])
+    found = lm._forward(w, sides, target)[-1]
+    assert found[0] == pytest.approx(0, abs=1e-4) and -1020 < found[1] < -990
+    lm.step(w, sides, target, 0.1)
+    assert all(np.isfinite(v).all() for v in w.values())
+
+
+def test_cost_of_a_step_and_of_scores():
+    """Calls of a step do not grow with the classes in it, and scoring holds no layer of all positions."""
+    def calls(classes: int) -> int:
+        w = lm.initial_weights(6, np.ones(classes ** 2))
+        target = np.repeat(np.arange(classes), 4) * classes
+        seen = []
+        sys.setprofile(lambda frame, event, arg: seen.append(event) if event in ("call", "c_call") else None)
+        try:
+            lm.step(w, np.tile(target[:, None], 2 * lm.SIDE), target, 0.1)
+        finally:
+            sys.setprofile(None)
+        return len(seen)
+
+    assert calls(121) < calls(40) + 40
+    classes = 121
+    w = lm.initial_weights(6, np.ones(classes ** 2))
+    doc = np.random.default_rng(6).integers(0, classes ** 2, lm.SLICE)
+    tracemalloc.start()
+    lm.log_probabilities(w, [doc])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * lm.SLICE * classes * 4
+
+
 def test_every_position_is_trained(spark):
     rng = np.random.default_rng(2)
     docs = [rng.integers(0, lm.VOCABULARY, n) for n in (0, 40_000, 3, 70_000, 1, 30_000)]
