@@ -9,6 +9,7 @@ from flowsieve.operators.propagate import label_contexts, replies
 from flowsieve.operators.select import exemplars, outliers
 from flowsieve.operators.tuning import rate_limit
 from flowsieve.schema import LABEL_DNS, LABEL_MALFORMED
+from flowsieve.streaming import live
 from flowsieve.streaming.live import late_rows, rate_limit_stream, undated, windowed_flows, write_alerts, write_undated
 
 START = datetime.datetime(2024, 5, 1, tzinfo=datetime.timezone.utc)
@@ -106,3 +107,26 @@ def test_exemplars_without_wide_sorts(spark):
         exemplars(df.drop("ord"))
     with pytest.raises(ValueError, match="outliers.*flow_id"):
         outliers(df)
+
+
+def test_state_is_kept_on_disk(spark, tmp_path):
+    """Open windows lie in RocksDB, not in the heap; the session's settings stay, and a provider that it names is used."""
+    folder, key = tmp_path / "log", "spark.sql.streaming.stateStore.providerClass"
+    folder.mkdir()
+    stamp = '{"flow_id": %d, "event_type": "flow", "timestamp": "2024-01-01T00:%02d:00.000000+0000"}\n'
+    (folder / "a.json").write_text("".join(stamp % (i % 20, i % 60) for i in range(200)))
+
+    def run(name):
+        flows = live.windowed_flows(live.read_event_stream(spark, str(folder)), ["event_type"])
+        live.write_alerts(flows, f"{tmp_path}/{name}", f"{tmp_path}/{name}-state").awaitTermination()
+        kinds = {p.suffix for p in (tmp_path / f"{name}-state" / "state").rglob("*") if p.is_file() and not p.name.startswith((".", "_"))}
+        return kinds, spark.read.parquet(f"{tmp_path}/{name}").count()
+
+    kinds, n = run("disk")
+    assert n == 50 and ".zip" in kinds and ".delta" not in kinds and spark.conf.get(key, None) is None
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        kinds, again = run("heap")
+        assert again == n and ".delta" in kinds and ".zip" not in kinds
+    finally:
+        spark.conf.unset(key)
